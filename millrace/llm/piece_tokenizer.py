@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MEMO_WORDS = 500_000  # parts kept by a worker between batches; all are dropped when there are more
+MEMO_PAIRS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -107,6 +108,7 @@ class PieceModel:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in self.split), p[0]) for p in self.split}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def _merge(self, text: str) -> tuple[str, str] | None:
         """The last merge that makes the text one piece, if merging pairs by score gets there."""
@@ -146,13 +148,21 @@ class PieceModel:
         longest = [1] * n
         for end, size in self.automaton.iter(text):
             longest[end - size + 1] = size  # ends ascend, so the last one is the longest
-        fits, shorter = self._fits, self.shorter
+        pairs, shorter = self.pairs, self.shorter
         failed = 0  # bit i: nothing from place i on was found
         out: list[str] = []
         at, piece = 0, text[: longest[0]]
         while True:
             to = at + len(piece)
-            if not failed >> to & 1 and (not out or fits(out[-1], piece)):
+            good = not failed or not failed >> to & 1
+            if good and out:
+                pair = (out[-1], piece)
+                good = pairs.get(pair)
+                if good is None:
+                    if len(pairs) >= MEMO_PAIRS:
+                        pairs.clear()
+                    good = pairs[pair] = self._fits(*pair)
+            if good:
                 out.append(piece)
                 if to == n:
                     return out
@@ -188,6 +198,10 @@ class PieceModel:
         return [SPACE * size[i] for i in range(n) if alive[i]]
 
     def _word(self, part: str) -> tuple[int, ...]:
+        if not part.startswith(SPACE, 1) and not self.alone.search(part):  # the usual case: one space, if any
+            found = self._backtrack(part)
+            if all(p in self.id for p in found):
+                return tuple([self.id[p] for p in found])
         spaces = len(part) - len(part.lstrip(SPACE))
         out: list[str] = []
         for k, run in enumerate(x for x in self.alone.split(part[max(0, spaces - 1) :]) if x):
