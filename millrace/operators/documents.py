@@ -147,3 +147,25 @@ def reclaim(operations: DataFrame, now: Column, lease_s: int = LEASE_S) -> DataF
 
 def newest_per(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+# Message headers that are kept with an operation.
+KEPT_HEADERS = ("correlationId", "correlation_id", "requestId", "request_id", "traceId", "trace_id", "causationId", "causation_id", "operationId", "operation_id")
+
+
+def kept_headers(headers: Column, message_id: Column) -> Column:
+    """The headers that go on, and the message's id."""
+    kept = F.map_filter(headers, lambda k, _: k.isin(*KEPT_HEADERS))
+    return F.map_concat(F.map_filter(kept, lambda k, _: k != "messageId"), F.create_map(F.lit("messageId"), message_id))
+
+
+def agreed(root: Column, nested: Column) -> Column:
+    """A field that may stand at the root and nested: the root's value first; an error where both differ."""
+    differ = root.isNotNull() & nested.isNotNull() & (root != nested)
+    return F.struct(F.coalesce(root, nested).alias("value"), F.when(differ, "root and nested values differ").alias("error"))
+
+
+def result_message(operation_id: Column, status: Column, error_code: Column) -> Column:
+    """The outbound payload of an operation that has ended."""
+    kind = F.when(status == "succeeded", "document.vectorized").otherwise("document.failed")
+    return F.struct(kind.alias("type"), operation_id.alias("operationId"), status.alias("status"), error_code.alias("errorCode"))

@@ -88,3 +88,14 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> Data
             break
         seen, frontier = seen.unionByName(new), new
     return seen
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """The nodes that edges (src, dst) lead to from each node."""
+    return nodes.join(edges, F.col(node) == F.col("src")).select(node, F.col("dst").alias("neighbour")).distinct()
+
+
+def inherit_from_best(ranked: DataFrame, atoms: DataFrame, owner: str) -> DataFrame:
+    """What each query (id, rank, similar_id) inherits from the most similar one."""
+    best = ranked.filter("rank = 1").select("id", F.col("similar_id").alias(owner))
+    return best.join(inherit(atoms, INHERIT_LEAST, INHERIT_FACTOR), owner)

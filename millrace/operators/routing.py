@@ -118,3 +118,26 @@ def health(probes: DataFrame, by: str, name: str, ok: str, required: Sequence[st
     each = probes.groupBy(by, name).agg(F.max(F.col(ok).cast("int")).alias("ok"))
     reachable = F.array_sort(F.collect_set(F.when(F.col("ok") == 1, F.col(name))))
     return each.groupBy(by).agg(F.concat_ws(",", reachable).alias("reachable"), (F.sum(F.when(F.col(name).isin(*required), F.col("ok")).otherwise(0)) == len(required)).alias("useful"))
+
+
+def next_of_plan(capabilities: Column, index: Column) -> Column:
+    """The capability after a plan's cursor; null at the end."""
+    return F.try_element_at(capabilities, index + 2)
+
+
+def resume_at(next_capability: Column, history: Column) -> Column:
+    """Where an envelope goes on: its next capability, else the last one of its history."""
+    return F.coalesce(next_capability, F.try_element_at(history, F.lit(-1)))
+
+
+def session_of(auth: DataFrame, listing: DataFrame, by: str) -> DataFrame:
+    """Two probes of a session joined: authenticated, the user, whether the listing is ready, and both."""
+    a = auth.select(by, F.col("ok").alias("authenticated"), "user")
+    b = listing.select(by, F.col("ok").alias("lis_ready"))
+    out = a.join(b, by, "full_outer").na.fill(False, ["authenticated", "lis_ready"])
+    return out.withColumn("useful", F.col("authenticated") & F.col("lis_ready"))
+
+
+def succeeded(terminated: Column, error: Column) -> Column:
+    """An envelope succeeded if it was not terminated, or has no error."""
+    return ~terminated | error.isNull()

@@ -72,3 +72,9 @@ def guarded_map(items: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], schem
 def error_rate(results: DataFrame, error: Column) -> DataFrame:
     """Workers, errors and their share."""
     return results.agg(F.count("*").alias("worker_count"), F.sum(error.cast("long")).alias("error_count"), F.avg(error.cast("double")).alias("error_rate"))
+
+
+def collect_results(results: DataFrame, part: str, order: str, value: str, ok: Column) -> DataFrame:
+    """Each partition's successful values in order; partitions are bounded by what the caller deals to one."""
+    good = F.sort_array(F.collect_list(F.when(ok & F.col(value).isNotNull(), F.struct(order, value))))
+    return results.groupBy(part).agg(F.transform(good, lambda x: x[value]).alias("values"))

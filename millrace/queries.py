@@ -847,3 +847,107 @@ def stream_settle(spark, sf_dir):
     m = table(spark, sf_dir, "events").withColumn("attempt", F.lit(1))
     out = topics.settle(m, F.col("event_type") != "error")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("outcome") == "ack").cast("long")).alias("acks"))
+
+
+# ---- further operators
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'c' END AS next, CASE WHEN event_id % 2 = 0 THEN 'given' ELSE event_type END AS resumed FROM events""")
+def plan_cursor_and_resume(spark, sf_dir):
+    plan = F.array(*[F.lit(c) for c in "abc"])
+    given = F.when(F.col("event_id") % 2 == 0, "given")
+    return table(spark, sf_dir, "events").select("event_id", routing.next_of_plan(plan, (F.col("event_id") % 4).cast("int")).alias("next"), routing.resume_at(given, F.array(F.lit("first"), F.col("event_type"))).alias("resumed"))
+
+
+@query("""WITH p AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AS sa, max(CASE WHEN event_type = 'signup' AND value > 100 THEN 1 ELSE 0 END) = 1 AS a, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 AS sv, max(CASE WHEN event_type = 'view' AND value > 100 THEN 1 ELSE 0 END) = 1 AS l FROM events GROUP BY 1) SELECT user_id, sa AND a AS authenticated, sv AND l AS lis_ready, sa AND a AND sv AND l AS useful FROM p WHERE sa OR sv""")
+def session_build(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.col("value") > 100).alias("ok"))
+    auth = e.filter("event_type = 'signup'").withColumn("user", F.col("user_id").cast("string"))
+    return routing.session_of(auth, e.filter("event_type = 'view'"), "user_id").select("user_id", "authenticated", "lis_ready", "useful")
+
+
+@query("""SELECT event_id, event_type <> 'error' OR event_id % 2 = 0 AS ok FROM events""")
+def success_rule(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", routing.succeeded(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 1, "e")).alias("ok"))
+
+
+@query("""SELECT o_orderkey, b AS branch, ['fetch', 'filter', 'format', 'respond'][b + 1] AS branch_capability FROM orders, (SELECT unnest([0, 1, 2, 3]) AS b)""")
+def time_split_branches(spark, sf_dir):
+    caps = F.array(*[F.lit(c) for c in ("fetch", "filter", "format", "respond", "fifth")])
+    return placement.split_branches(table(spark, sf_dir, "orders").select("o_orderkey"), caps)
+
+
+@query("""SELECT 'swarm_worker_' || i AS worker_id, CAST(i AS INT) AS worker, 'bench' AS capability FROM range(8) t(i)""")
+def swarm_workers(spark, sf_dir):
+    return swarm.workers(spark, "bench", 8)
+
+
+@query("""SELECT CAST(event_id % 50 AS INT) AS part, coalesce(string_agg(CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS "values" FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""")
+def swarm_collect(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type in ('click', 'error')").select((F.col("event_id") % 50).cast("int").alias("part"), "event_id", F.col("event_id").cast("string").alias("data"), "event_type")
+    out = swarm.collect_results(e, "part", "event_id", "data", F.col("event_type") != "error")
+    return out.select("part", F.array_join("values", ",").alias("values"))
+
+
+@query(f"""WITH e(src, dst) AS (VALUES {EDGES_SQL}) SELECT DISTINCT src AS node, dst AS neighbour FROM e""")
+def capability_neighbours(spark, sf_dir):
+    edges = spark.createDataFrame(EDGES, "src string, dst string")
+    return lineage.neighbours(edges, edges.select(F.col("src").alias("node")).distinct(), "node")
+
+
+@query(ORACLE_SQL["similar_topk_state_keys"].split("SELECT id, CAST(rank")[0] + " SELECT r.id, r.similar_id, round((0.3 + 0.5 * quality) * 0.8, 6) AS confidence FROM r JOIN labels ON doc_id = similar_id WHERE rank = 1 AND 0.3 + 0.5 * quality > 0.3")
+def inherit_from_similar(spark, sf_dir):
+    ranked = similar_topk_state_keys(spark, sf_dir)
+    atoms = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("owner"), (0.3 + 0.5 * F.col("quality")).alias("confidence"))
+    out = lineage.inherit_from_best(ranked, atoms, "owner")
+    return out.select("id", F.col("owner").alias("similar_id"), r6("confidence", "confidence"))
+
+
+@query("""SELECT conv_id, turn, role AS trace_id, 'm' || conv_id AS message_id FROM conversations""")
+def doc_kept_headers(spark, sf_dir):
+    headers = F.create_map(F.lit("traceId"), F.col("role"), F.lit("cookie"), F.lit("x"))
+    c = table(spark, sf_dir, "conversations").withColumn("h", documents.kept_headers(headers, F.concat(F.lit("m"), F.col("conv_id").cast("string"))))
+    return c.select("conv_id", "turn", F.col("h")["traceId"].alias("trace_id"), F.col("h")["messageId"].alias("message_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS value, CASE WHEN doc_id % 3 = 0 AND lang <> source THEN 'root and nested values differ' END AS error FROM documents""")
+def doc_alias_agreement(spark, sf_dir):
+    out = documents.agreed(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", out["value"].alias("value"), out["error"].alias("error"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type <> 'error' THEN 'document.vectorized' ELSE 'document.failed' END AS type, CASE WHEN event_type = 'error' THEN 'VALIDATION_ERROR' END AS error_code FROM events""")
+def doc_result_message(spark, sf_dir):
+    bad = F.col("event_type") == "error"
+    out = documents.result_message(F.col("event_id").cast("string"), F.when(bad, "terminal_failure").otherwise("succeeded"), F.when(bad, "VALIDATION_ERROR"))
+    return table(spark, sf_dir, "events").select("event_id", out["type"].alias("type"), out["errorCode"].alias("error_code"))
+
+
+@query("""WITH a AS (SELECT CAST(count(*) AS BIGINT) AS executions, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(DISTINCT event_type || props) AS unique_computations, max(value) AS slowest FROM events) SELECT *, executions - unique_computations AS reuses FROM a""")
+def engine_metrics(spark, sf_dir):
+    c = calls(spark, sf_dir)
+    per = c.groupBy("lookup_key").agg(F.count("*").alias("n"), F.sum((~F.col("success")).cast("long")).alias("e"), F.max("value").alias("m"))
+    out = per.agg(F.sum("n").alias("executions"), F.sum("e").alias("errors"), F.count("*").alias("unique_computations"), F.max("m").alias("slowest"))
+    return out.withColumn("reuses", F.col("executions") - F.col("unique_computations"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN TRUE ELSE FALSE END AS tagged FROM part""")
+def capability_by_tag(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(F.split("p_name", " "), F.array(F.lit("red"), F.lit("blue"))).alias("tagged"))
+
+
+@query("""SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS version FROM orders GROUP BY 1""")
+def kv_latest(spark, sf_dir):
+    """An upsert is an append; the table is its log's last row for each key."""
+    log = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("version"))
+    return documents.latest(log, "o_custkey", "version").select("o_custkey", "status", "version")
+
+
+@query("""SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001')""")
+def kv_prefix_scan(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter(F.col("c_name").startswith("Customer#00000001")).select("c_custkey")
+
+
+@query("""SELECT i, CASE WHEN regexp_matches(text, '(?i)^(get|fetch|retrieve|list)\\s+\\w+') THEN 'fetch' WHEN regexp_matches(text, '(?i)^(create|add|insert)\\s+\\w+') THEN 'create' WHEN regexp_matches(text, '(?i)^(update|modify|edit)\\s+\\w+') THEN 'update' WHEN regexp_matches(text, '(?i)^(delete|remove)\\s+\\w+') THEN 'delete' WHEN regexp_matches(text, '(?i)^(analyze|analyse)\\s+\\w+') THEN 'analyze' WHEN regexp_matches(text, '(?i)^(search|find)\\s+\\w+') THEN 'search' WHEN regexp_matches(text, '(?i)^(recommend|suggest)\\s+\\w+') THEN 'recommend' ELSE 'unknown' END AS kind FROM """ + _PHRASES_SQL)
+def plan_simple_patterns(spark, sf_dir):
+    return phrases(spark).select("i", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))
