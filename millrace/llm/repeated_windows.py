@@ -37,7 +37,8 @@ from millrace.llm._text import mix
 
 WINDOW = 50
 ANCHOR = 24
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES, SPLIT_MOST = 4 << 20, 256 << 20
+ARRAY_BYTES = 16 << 10
 CHUNK = 1 << 20
 NO_ID = np.iinfo(np.int64).min
 
@@ -288,10 +289,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     row: a number that tells rows of one id apart.
     """
     total = text_bytes(docs)
-    n_splits = max(1, -(-total // SPLIT_BYTES))
-    if n_splits > 16384:  # splits and buckets grow with the root of the input from there on
-        n_splits = int(16384 * (n_splits / 16384) ** 0.5)
-    n_buckets = max(1, n_splits)
+    # every split sends an array to every bucket: beyond a GB their numbers grow with the root of the input, so
+    # arrays keep a size worth sending, until splits have reached the most that a task should hold
+    n_splits = max(1, -(-total // SPLIT_MOST), min(-(-total // SPLIT_BYTES), int((total / ARRAY_BYTES) ** 0.5)))
+    n_buckets = n_splits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     rows = rows.withColumn("split", F.pmod(F.xxhash64(F.lit(5), "doc_id", "row"), F.lit(n_splits)).cast("int"))

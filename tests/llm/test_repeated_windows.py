@@ -40,6 +40,7 @@ def test_odd_cases_equal_brute_force(spark):
 
 def test_random_passages_over_many_splits(spark, monkeypatch):
     monkeypatch.setattr(rw, "SPLIT_BYTES", 1500)
+    monkeypatch.setattr(rw, "ARRAY_BYTES", 1)
     monkeypatch.setattr(rw, "CHUNK", 400)
     rnd = random.Random(4)
     pool = ["".join(rnd.choice("ab é") for _ in range(rnd.choice((30, 49, 50, 51, 90, 200)))) for _ in range(12)]
