@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm._common import text_bytes
 from millrace.llm._text import mix
@@ -283,22 +285,26 @@ def _answers(table: pa.Table, stage: int) -> dict[int, bytes]:
     return dict(zip(own["bucket"].to_pylist(), own["answer"].to_pylist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, row, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept (the remaining bytes) of every row.
+def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    row: a number that tells rows of one id apart.
+    On demand also kept (the remaining text, without bytes of characters that a cut has split; null for a
+    null text) and rest (a struct of the row's other columns).
     """
     total = text_bytes(docs)
     # every split sends an array to every bucket: beyond a GB their numbers grow with the root of the input, so
     # arrays keep a size worth sending, until splits have reached the most that a task should hold
     n_splits = max(1, -(-total // SPLIT_MOST), min(-(-total // SPLIT_BYTES), int((total / ARRAY_BYTES) ** 0.5)))
     n_buckets = n_splits
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if keep_rows else [F.lit(0).alias("none")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.struct(*others).alias("rest"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     rows = rows.withColumn("split", F.pmod(F.xxhash64(F.lit(5), "doc_id", "row"), F.lit(n_splits)).cast("int"))
     width = max(1, min(n_splits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
     dealt = rows.repartition(width, "split")
     entry = "split int, bucket int, packed binary"
+    rest = dealt.schema["rest"].dataType.simpleString()
+    rest_type = to_arrow_type(T._parse_datatype_string(rest))  # every field may be null there
 
     def enter(key, table):
         ids, texts, _ = _texts(table)
@@ -316,20 +322,20 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def finish(_key, left, right):
         ids, texts, order = _texts(left)
+        left = left.take(pa.array(order))
         split = _Split(ids, texts, n_buckets)
         split.settle(_answers(right, 1))
         out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for t, mask in zip(texts, split.covered(_answers(right, 2)), strict=True):
+        for t, null, mask in zip(texts, left["text"].is_null().to_pylist(), split.covered(_answers(right, 2)), strict=True):
             kept = np.frombuffer(t, np.uint8)[~mask].tobytes() if mask.any() else t
             out["n_removed"].append(int(mask.sum()))
             out["n_spans"].append(int((mask[1:] & ~mask[:-1]).sum() + mask[:1].sum()))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept if keep_text else None)
-        left = left.take(pa.array(order))
+            out["kept"].append(None if not keep_rows or null else kept.decode("utf-8", "ignore"))
         return pa.table(
             {
-                "doc_id": left["doc_id"], "row": left["row"], "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
-                "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.binary()),
+                "doc_id": left["doc_id"], "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
+                "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.string()), "rest": left["rest"].cast(rest_type),
             }
         )
 
@@ -338,9 +344,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     again = dealt.groupBy("split").cogroup(first.groupBy("split")).applyInArrow(enter_windows, entry)
     second = again.groupBy("bucket").applyInArrow(_judge(False), answer).withColumn("stage", F.lit(2))
     both = first.unionByName(second)
-    kept = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    kept = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {rest}"
     out = dealt.groupBy("split").cogroup(both.groupBy("split")).applyInArrow(finish, kept)
-    return out if keep_text else out.drop("kept")
+    return out if keep_rows else out.drop("kept", "rest")
 
 
 def keep_unrepeated(docs: DataFrame) -> DataFrame:
@@ -348,14 +354,9 @@ def keep_unrepeated(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that a cut has split are dropped. A null text stays null.
     """
-    found = remove_repeats(docs, keep_text=True)
-    cut = found.filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("kept").alias("__kept"))
-    cut = cut.dropDuplicates(["__id", "__row"])
-    decode = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else b.decode("utf-8", "ignore")), "string")
-    cut = cut.withColumn("__kept", decode("__kept"))
-    keyed = docs.withColumn("__row0", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
-    joined = keyed.join(cut, (F.col("doc_id") == F.col("__id")) & (F.col("__row0") == F.col("__row")), "left")
-    joined = joined.withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = remove_repeats(docs, keep_rows=True)
+    columns = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in columns:
+        cut = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, cut).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
