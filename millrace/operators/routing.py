@@ -130,12 +130,12 @@ def resume_at(next_capability: Column, history: Column) -> Column:
     return F.coalesce(next_capability, F.try_element_at(history, F.lit(-1)))
 
 
-def session_of(auth: DataFrame, listing: DataFrame, by: str) -> DataFrame:
-    """Two probes of a session joined: authenticated, the user, whether the listing is ready, and both."""
+def session_of(auth: DataFrame, second: DataFrame, by: str) -> DataFrame:
+    """Two probes of a session joined: authenticated, the user, whether the second service is ready, and both."""
     a = auth.select(by, F.col("ok").alias("authenticated"), "user")
-    b = listing.select(by, F.col("ok").alias("lis_ready"))
-    out = a.join(b, by, "full_outer").na.fill(False, ["authenticated", "lis_ready"])
-    return out.withColumn("useful", F.col("authenticated") & F.col("lis_ready"))
+    b = second.select(by, F.col("ok").alias("second_ready"))
+    out = a.join(b, by, "full_outer").na.fill(False, ["authenticated", "second_ready"])
+    return out.withColumn("useful", F.col("authenticated") & F.col("second_ready"))
 
 
 def succeeded(terminated: Column, error: Column) -> Column:

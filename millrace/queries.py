@@ -859,11 +859,11 @@ def plan_cursor_and_resume(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", routing.next_of_plan(plan, (F.col("event_id") % 4).cast("int")).alias("next"), routing.resume_at(given, F.array(F.lit("first"), F.col("event_type"))).alias("resumed"))
 
 
-@query("""WITH p AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AS sa, max(CASE WHEN event_type = 'signup' AND value > 100 THEN 1 ELSE 0 END) = 1 AS a, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 AS sv, max(CASE WHEN event_type = 'view' AND value > 100 THEN 1 ELSE 0 END) = 1 AS l FROM events GROUP BY 1) SELECT user_id, sa AND a AS authenticated, sv AND l AS lis_ready, sa AND a AND sv AND l AS useful FROM p WHERE sa OR sv""")
+@query("""WITH p AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) = 1 AS sa, max(CASE WHEN event_type = 'signup' AND value > 100 THEN 1 ELSE 0 END) = 1 AS a, max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) = 1 AS sv, max(CASE WHEN event_type = 'view' AND value > 100 THEN 1 ELSE 0 END) = 1 AS l FROM events GROUP BY 1) SELECT user_id, sa AND a AS authenticated, sv AND l AS second_ready, sa AND a AND sv AND l AS useful FROM p WHERE sa OR sv""")
 def session_build(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.col("value") > 100).alias("ok"))
     auth = e.filter("event_type = 'signup'").withColumn("user", F.col("user_id").cast("string"))
-    return routing.session_of(auth, e.filter("event_type = 'view'"), "user_id").select("user_id", "authenticated", "lis_ready", "useful")
+    return routing.session_of(auth, e.filter("event_type = 'view'"), "user_id").select("user_id", "authenticated", "second_ready", "useful")
 
 
 @query("""SELECT event_id, event_type <> 'error' OR event_id % 2 = 0 AS ok FROM events""")
