@@ -40,7 +40,8 @@ TREES = 16
 DEPTH = 8  # values in a label
 TARGET_RECALL = 0.999  # of pairs right at the threshold
 SLACK = 0.22  # signatures that agree in a share of THRESHOLD - SLACK are candidates: six standard deviations
-BLOCK = 256
+BLOCK = 256  # texts of a class that are verified at once with those of another block
+NODE_BLOCK = 1024  # signatures of a node that are compared at once with those of another block
 
 _seeds = np.random.default_rng(7)
 _A = _seeds.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
@@ -136,9 +137,11 @@ def _join_nodes(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
                 continue
             label = sig[i:j, tree[i] * DEPTH : (tree[i] + 1) * DEPTH]
             order = np.lexsort(label.T[::-1]) + i  # the trie's order: long common prefixes are neighbours
-            for a, b in _connect(sig[order], least):
-                out_a.append(ids[order[a]])
-                out_b.append(ids[order[b]])
+            for cluster in _clusters(sig[order], least):
+                members = ids[order[cluster]]
+                low = members.min()  # the same root in most trees, so most edges are repeats
+                out_a.append(members[members != low])
+                out_b.append(np.full(len(out_a[-1]), low))
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
         b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         return pd.DataFrame({"a": a, "b": b})
@@ -155,19 +158,20 @@ def _join_nodes(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
         yield solve(held)
 
 
-def _connect(sig: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect what agrees; rows in the trie's order. A row joined before is not compared again."""
+def _clusters(sig: np.ndarray, least: float) -> Iterator[list[int]]:
+    """Rows that agreement connects, two or more; rows in the trie's order. A row joined before is not compared again."""
     left = np.arange(len(sig))
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left = [int(left[0])], left[1:]
+        cluster = list(queue)
         while queue and len(left):
-            x = queue.pop()
-            near = (sig[left] == sig[x]).mean(1) >= least
-            found = left[near]
-            if len(found):
-                yield np.full(len(found), x), found
-                queue.extend(found.tolist())
-                left = left[~near]
+            near = (sig[left] == sig[queue.pop()]).mean(1) >= least
+            found = left[near].tolist()
+            cluster += found
+            queue += found
+            left = left[~near]
+        if len(cluster) > 1:
+            yield cluster
 
 
 def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -236,9 +240,9 @@ def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         yield solve(held)
 
 
-def _dealt(rows: DataFrame, size: str, of: str) -> DataFrame:
+def _dealt(rows: DataFrame, size: str, of: str, block: int) -> DataFrame:
     """Each row once for every pair of blocks (p <= q) that its block is in; one pair, if size is within a block."""
-    blocks = F.ceil(F.col(size) / BLOCK)
+    blocks = F.ceil(F.col(size) / block)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col(of)), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     return rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other")
@@ -258,7 +262,7 @@ def links(docs: DataFrame) -> DataFrame:
 
     nodes = reps.select("rep", F.posexplode("keys").alias("tree", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = _dealt(nodes.join(sizes, "node"), "size", "rep").select("node", "tree", "p", "q", "rep")
+    shared = _dealt(nodes.join(sizes, "node"), "size", "rep", NODE_BLOCK).select("node", "tree", "p", "q", "rep")
     shared = shared.join(reps.select("rep", "sig"), "rep").repartition(width, "node", "p", "q").sortWithinPartitions("node", "p", "q")
     least = THRESHOLD - SLACK
     joined = shared.select("node", "tree", "p", "q", "rep", "sig").mapInPandas(lambda b: _join_nodes(b, least), "a long, b long")
@@ -267,7 +271,7 @@ def links(docs: DataFrame) -> DataFrame:
     members = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
     members = members.select(F.col("node").alias("rep"), F.col("component").alias("class"), "size").join(reps.select("rep", "form", "copies"), "rep")
     own = members.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "form"])
-    blocks = _dealt(own, "size", "rep").repartition(width, "class", "p", "q").sortWithinPartitions("class", "p", "q")
+    blocks = _dealt(own, "size", "rep", BLOCK).repartition(width, "class", "p", "q").sortWithinPartitions("class", "p", "q")
     found = blocks.select("class", "p", "q", "block", "rep", "form", "copies", "text").mapInPandas(lambda b: _verify(b, THRESHOLD), "rep long, links long, other long")
     found = checkpoint(found)
 

@@ -34,6 +34,7 @@ def test_equals_brute_force(spark, small):
 
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "NODE_BLOCK", 3)
     base = [f"w{i}" for i in range(200)]
     rows = []
     for k in range(30):  # a chain of near copies, each pair of neighbours well above the threshold
