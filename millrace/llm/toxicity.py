@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int
     """
     toxic = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(toxic.filter(fold() != 0), "toxic", per_class)
-    sample = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(chosen, "doc_id")
+    sample = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # ids and labels of a bounded sample
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
