@@ -85,6 +85,8 @@ class PieceModel:
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.id = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
         self.score = {p: scores[i] for p, i in self.id.items()}
+        self.spelled = [p.replace(SPACE, " ") if k == NORMAL else chr(int(p[3:5], 16)) if k == BYTE and p < "<0x80>" else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.joining_ids = {i for i, k in enumerate(self.kinds) if k not in (NORMAL, CONTROL) and not self.spelled[i]}
         self.end_id = self.pieces.index("</s>")
         self.space_runs = {p for p in self.id if len(p) > 1 and not p.strip(SPACE)}
         inner = [p for p in self.id if SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p not in self.space_runs)]
@@ -94,7 +96,8 @@ class PieceModel:
         joining = {c for p in self.merged for c in p}
         # a single character that is in no longer piece stands alone
         self.alone = re.compile(f"([^{re.escape(''.join(sorted(joining | {SPACE})))}])")
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        lines = "" if "\n" in joining else "\n"  # lines are parts of their own, as words at their ends repeat
+        self.parts = re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + (f"|{lines}" if lines else ""))
         # in order of score: the place in the order, the last merge, and the longest shorter piece in front
         order = sorted(self.merged, key=lambda p: -self.score[p])
         self.rank = {p: i for i, p in enumerate(order)}
@@ -199,9 +202,19 @@ class PieceModel:
 
     def _word(self, part: str) -> tuple[int, ...]:
         if not part.startswith(SPACE, 1) and not self.alone.search(part):  # the usual case: one space, if any
-            found = self._backtrack(part)
-            if all(p in self.id for p in found):
-                return tuple([self.id[p] for p in found])
+            return self._run(part)
+        return self._spaced(part)
+
+    def _run(self, text: str) -> tuple[int, ...]:
+        """The ids of characters that may all merge, or of a single one."""
+        found = self._backtrack(text) if len(text) > 1 else [text]
+        try:
+            return tuple([self.id[p] for p in found])
+        except KeyError:  # a character without a piece of its own
+            return tuple(i for p in found for i in ((self.id[p],) if p in self.id else (self.byte_id[b] for b in p.encode("utf-8"))))
+
+    def _spaced(self, part: str) -> tuple[int, ...]:
+        """The same with a run of spaces in front, or with characters that stand alone."""
         spaces = len(part) - len(part.lstrip(SPACE))
         out: list[str] = []
         for k, run in enumerate(x for x in self.alone.split(part[max(0, spaces - 1) :]) if x):
@@ -238,7 +251,13 @@ class PieceModel:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes are joined to characters where they can be, one space in front goes."""
+        """The text of ids: bytes are joined to characters where they can be, one space in front goes.
+
+        Bytes below 128 are characters whatever stands beside them; only the others need their neighbours.
+        """
+        if self.joining_ids.isdisjoint(ids):
+            text = "".join([self.spelled[i] for i in ids])
+            return text[1:] if self.prefix and ids and text.startswith(" ") and self.kinds[next((i for i in ids if self.spelled[i]), 0)] == NORMAL else text
         kinds, pieces = self.kinds, self.pieces
         out: list[str] = []
         raw = bytearray()
