@@ -2,8 +2,8 @@
 
 Words and their prefixes are hashed into an embedding table and the vectors of a word are added, so
 that inflected and compound forms share what their stem has learned; filters of several widths run over the word vectors, each filter's maximum over the whole text feeds a logistic output.
-Thresholds are calibrated on a part of the labelled rows by the language that the text seems to have
-(bag of hashed words), and scores are shifted so that 0.5 is that language's threshold.
+Only fitting uses a sample. Thresholds are calibrated by the language that the text seems to have (bag of
+hashed words) on counts over all labelled rows, and scores are shifted so that 0.5 is that language's threshold.
 
 Null and empty texts get the score of an empty text. Rows with a null id are scored and never learned
 from. Repeated ids: every row is scored. Without any labelled row of both classes the score is 0.
@@ -26,6 +26,8 @@ from millrace.llm._text import Words, groups
 BUCKETS = 1 << 17
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
+#: Calibration counts logits in bins of 1 / FINE, up to FAR from 0.
+FINE, FAR = 64, 30
 
 
 def _buckets(words: Words) -> np.ndarray:
@@ -62,7 +64,7 @@ class TextCNN:
     def warm_start(self, ids: list[np.ndarray], labels: np.ndarray, use: np.ndarray, least_texts: int) -> None:
         """Give the first dimension of each bucket the evidence that it speaks for the class, in standard deviations.
 
-        Buckets of fewer than least_texts texts keep a zero vector.
+        A bucket without evidence has the sample's own class share, whatever the share in all rows. Buckets of fewer than least_texts texts keep a zero vector.
         """
         seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for i in np.flatnonzero(use):
@@ -111,13 +113,19 @@ class TextCNN:
     def language(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.lang_table[ids[:, 0]], starts, axis=0).argmax(1)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's logit and the index of the language that it seems to have."""
+        logits, seems = np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
         for lo, hi in groups(texts):
             ids, starts = _ids(Words(texts[lo:hi]), self.gap)
-            raw = self.logits(self.forward(ids, starts)) - self.threshold[self.language(ids, starts)]
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(raw.astype(np.float64), -30, 30)))
-        return out
+            logits[lo:hi] = self.logits(self.forward(ids, starts))
+            seems[lo:hi] = self.language(ids, starts)
+        return logits, seems
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        logits, seems = self.judge(texts)
+        raw = (logits - self.threshold[seems]).astype(np.float64)
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 class _Adam:
@@ -176,29 +184,61 @@ def fit(model: TextCNN, ids: list[np.ndarray], labels: np.ndarray, epochs: int,
             adam.step("emb", model.emb, summed[keep], used[keep], 0.2)
 
 
-def _calibrate(logits: np.ndarray, labels: np.ndarray, langs: np.ndarray, n_langs: int, least: int = 40) -> np.ndarray:
-    """Per language the threshold of the fewest errors, toxic and clean texts alike in weight by their counts."""
-
-    def best(z: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(z)
-        z, y = z[order], y[order]
-        wrong = np.r_[0, np.cumsum(y)] + np.r_[np.cumsum((1 - y)[::-1])[::-1], 0]  # errors if the first i are clean
-        low = np.flatnonzero(wrong == wrong.min())
-        i = low[len(low) // 2]
-        return float(z[0] - 1 if i == 0 else z[-1] + 1 if i == len(z) else (z[i - 1] + z[i]) / 2)
-
-    both = len(np.unique(labels)) == 2
-    overall = best(logits, labels) if both else 0.0
-    out = np.full(n_langs, overall, np.float32)
-    for k in range(n_langs):
-        own = langs == k
-        if own.sum() >= least and 0 < labels[own].mean() < 1:
-            out[k] = best(logits[own], labels[own])
+def _calibrate(counts: pd.DataFrame, n_langs: int, least: int = 40) -> np.ndarray:
+    """Per language the threshold of the fewest errors over all labelled rows.
+
+    counts: n rows of each seems, bin, toxic and learned. Logits of rows that the model has learned from say
+    nothing of others: the rest of a class stands for all of it, weighted by the inverse of its share.
+    """
+    whole = counts.groupby("toxic")["n"].sum()
+    rest = counts[~counts["learned"]]
+    if rest["toxic"].nunique() < 2:
+        rest = counts
+    weight = whole / rest.groupby("toxic")["n"].sum()
+    rest = rest.assign(w=rest["n"] * rest["toxic"].map(weight))
+
+    def best(own: pd.DataFrame) -> float:
+        lo = int(own["bin"].min())
+        size = int(own["bin"].max()) - lo + 1
+        clean, toxic = (np.bincount(part["bin"] - lo, part["w"], size) for part in (own[own["toxic"] == 0], own[own["toxic"] == 1]))
+        wrong = np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(clean[::-1])[::-1], 0]  # errors if the first i bins are clean
+        low = np.flatnonzero(np.isclose(wrong, wrong.min(), rtol=0, atol=1e-6))
+        return (lo + int(low[len(low) // 2])) / FINE
+
+    out = np.full(n_langs, best(rest) if rest["toxic"].nunique() == 2 else 0.0, np.float32)
+    for k, own in rest.groupby("seems"):
+        if own["n"].sum() >= least and own["toxic"].nunique() == 2:
+            out[k] = best(own)
     return out
 
 
+def _counts(docs: DataFrame, toxic: DataFrame, model: TextCNN, learned: list[int]) -> pd.DataFrame:
+    """Rows with a label that are not held out, by seeming language, bin of the logit, class and whether the model learned from them.
+
+    Every such row counts. Texts are not shuffled: documents are judged where they are, and only their ids
+    and bins meet the labels. The driver gets one row for each of a bounded number of bins.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # of fixed size
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            logits, seems = shared.value.judge(batch["text"].tolist())
+            bins = np.floor(np.clip(logits, -FAR, FAR) * FINE).astype(np.int32)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "seems": seems.astype(np.int32), "bin": bins})
+
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (fold() != 0))
+    judged = texts.mapInPandas(judge, "doc_id long, seems int, bin int").join(toxic, "doc_id")
+    known = spark.createDataFrame([(int(i), True) for i in learned], "doc_id long, learned boolean")
+    judged = judged.join(F.broadcast(known), "doc_id", "left")  # ids of the bounded sample
+    flag = F.coalesce("learned", F.lit(False)).alias("learned")
+    counts = judged.groupBy("seems", "bin", "toxic", flag).agg(F.count("*").alias("n")).toPandas()
+    shared.destroy()
+    return counts
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int = 6, least_texts: int = 4) -> TextCNN | None:
-    """Fit on about per_class labelled documents of each class at most; a fifth of them calibrates.
+    """Fit on about per_class labelled documents of each class at most, without a fifth of them, and calibrate on all.
 
     Buckets seen in fewer than least_texts of the texts keep a zero vector, so that rare words are not learned by heart.
     Documents of fold 0, null ids, texts or labels take no part. Tasks hash the words; the driver gets
@@ -238,17 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int
     learn = np.flatnonzero(~check)
     if len(np.unique(y[learn])) == 2:
         fit(model, [ids[i] for i in learn], y[learn], epochs)
-    test = np.flatnonzero(check) if len(np.unique(y[check])) == 2 else learn
-    pad = np.zeros((model.gap, 1 + len(PREFIXES)), np.int32)
-    logits, seems = np.zeros(len(test), np.float32), np.zeros(len(test), int)
-    for lo in range(0, len(test), 64):
-        some = test[lo : lo + 64]
-        flat = np.concatenate([x for i in some for x in (pad, ids[i])] + [pad])
-        sizes = np.array([len(ids[i]) + model.gap for i in some])
-        starts = np.cumsum(sizes) - sizes
-        logits[lo : lo + 64] = model.logits(model.forward(flat, starts))
-        seems[lo : lo + 64] = model.language(flat, starts)
-    model.threshold = _calibrate(logits, y[test], seems, len(langs))
+    model.threshold = _calibrate(_counts(docs, toxic, model, sorted(set(rows["doc_id"][learn]))), len(langs))
     return model
 
 

@@ -65,3 +65,21 @@ def test_toxicity_odd_cases(spark):
     assert toxicity.train(docs, none) is None and toxicity.train(cases.empty(spark), labels) is None
     assert toxicity.score(cases.empty(spark), model).count() == 0
     assert toxicity.keep_clean(odd, none).count() == odd.count()
+
+
+def test_toxicity_thresholds_count_all_rows_where_the_sample_is_capped(spark):
+    """A word of all toxic and a quarter of the clean texts: evidence at 1:1, but most often wrong at the true 1:8."""
+    rnd = random.Random(3)
+    plain = ["river", "stone", "window", "garden", "letter", "winter", "market", "silver"]
+    rows, labels = [], []
+    for i in range(1800):
+        bad = i % 9 == 0
+        w = [rnd.choice(plain) for _ in range(30)]
+        if bad or rnd.random() < 0.25:
+            w[rnd.randrange(30)] = "grumble"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs, truth = cases.documents(spark, rows), dict(labels)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels, per_class=150, epochs=3)).collect()
+    assert sum(r.predicted != truth[r.doc_id] for r in out) <= 1.1 * sum(truth.values())
