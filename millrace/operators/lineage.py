@@ -6,6 +6,8 @@ ancestor 2 ** k steps away, so a chain of length n takes log2(n) joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +28,47 @@ def roots(nodes: DataFrame, node: str, parent: str, max_rounds: int = 32) -> Dat
     raise ValueError("parent links form a cycle, or a chain is longer than 2 ** max_rounds")
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, max_depth: int = 100) -> DataFrame:
-    """Pairs of a node and each of its ancestors with their distance; the node itself at 0. One recursive query."""
-    spark = nodes.sparkSession
-    base = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"))
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(node, ancestor, distance) AS (
-          SELECT n, n, 0 FROM {base}
-          UNION ALL
-          SELECT c.node, b.p, c.distance + 1 FROM chain c JOIN {base} b ON c.ancestor = b.n JOIN {base} u ON u.n = b.p WHERE c.distance < {depth}
-        ) SELECT * FROM chain
-        """,
-        base=base,
-        depth=max_depth,
-    )
-
-
-def descendants(nodes: DataFrame, node: str, parent: str, max_depth: int = 100) -> DataFrame:
-    """How many descendants each node has (itself not counted); nodes without any are left out."""
-    return ancestors(nodes, node, parent, max_depth).filter("distance > 0").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"), F.max("distance").alias("height"))
+def _jumps(nodes: DataFrame, node: str, parent: str, checkpoint: Callable[[DataFrame], DataFrame]) -> Iterator[tuple[int, DataFrame]]:
+    """1, 2, 4 and so on with links (below, up) over so many steps, as long as there are any. Cycles are an error."""
+    known = nodes.select(F.col(node).alias("up"))
+    jump = checkpoint(nodes.select(F.col(node).alias("below"), F.col(parent).alias("up")).join(known, "up"))
+    most, step = nodes.count(), 1
+    while not jump.isEmpty():
+        if step >= most:
+            raise ValueError("parent links form a cycle")
+        yield step, jump
+        above = jump.select(F.col("below").alias("up"), F.col("up").alias("up2"))
+        jump, step = checkpoint(jump.join(above, "up").select("below", F.col("up2").alias("up"))), 2 * step
+
+
+def ancestors(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Pairs of a node and each of its ancestors with their distance; the node itself at 0.
+
+    All of them, unless max_depth is given. Each round doubles the distance that is reached.
+    """
+    pairs = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"))
+    for step, jump in _jumps(nodes, node, parent, checkpoint):
+        if max_depth is not None and step > max_depth:
+            break
+        far = pairs.join(jump, F.col("ancestor") == F.col("below")).select("node", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+        pairs = checkpoint(pairs.unionByName(far))
+    return pairs if max_depth is None else pairs.filter(F.col("distance") <= max_depth)
+
+
+def descendants(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """How many descendants each node has (itself not counted) and how far the farthest is; nodes without any are left out.
+
+    Counts of the nearer descendants are added up over doubling links, so no pairs are made unless max_depth is given.
+    """
+    if max_depth is not None:
+        pairs = ancestors(nodes, node, parent, max_depth, checkpoint).filter("distance > 0")
+        return pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"), F.max("distance").alias("height"))
+    own = nodes.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("own"))
+    state = own.select("node", F.col("own").alias("n"), F.lit(0).alias("height"))  # of each node and what is nearer than step
+    for step, jump in _jumps(nodes, node, parent, checkpoint):
+        far = jump.join(state, F.col("below") == F.col("node")).select(F.col("up").alias("node"), "n", (F.col("height") + step).alias("height"))
+        state = checkpoint(state.unionByName(far).groupBy("node").agg(F.sum("n").alias("n"), F.max("height").alias("height")))
+    return state.join(own, "node").filter("height > 0").select("node", (F.col("n") - F.col("own")).alias("descendants"), "height")
 
 
 def inherit(atoms: DataFrame, least: float, factor: float) -> DataFrame:

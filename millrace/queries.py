@@ -382,12 +382,12 @@ def lineage_root_path(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, c AS (SELECT node, node AS a, 0 AS distance FROM nodes UNION ALL SELECT c.node, p.node, c.distance + 1 FROM c JOIN nodes n ON n.node = c.a JOIN nodes p ON p.node = n.parent) SELECT a AS node, count(*) AS descendants, max(distance) AS height FROM c WHERE distance > 0 GROUP BY 1""")
 def lineage_descendants(spark, sf_dir):
-    return lineage.descendants(nodes(spark, sf_dir), "node", "parent")
+    return lineage.descendants(nodes(spark, sf_dir), "node", "parent", checkpoint=_cut)
 
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, c AS (SELECT node, node AS ancestor, 0 AS distance FROM nodes UNION ALL SELECT c.node, p.node, c.distance + 1 FROM c JOIN nodes n ON n.node = c.ancestor JOIN nodes p ON p.node = n.parent) SELECT node, ancestor, distance FROM c""")
 def memory_ancestry(spark, sf_dir):
-    return lineage.ancestors(nodes(spark, sf_dir), "node", "parent")
+    return lineage.ancestors(nodes(spark, sf_dir), "node", "parent", checkpoint=_cut)
 
 
 @query("""SELECT d.doc_id AS child, d.source AS key, round((0.3 + 0.5 * quality) * 0.9, 6) AS confidence FROM documents d JOIN labels l ON l.doc_id = d.doc_id // 2 WHERE 0.3 + 0.5 * quality > 0.5""")

@@ -53,3 +53,20 @@ def test_md5_mod(spark):
 
     want = int(hashlib.md5(b"f:8").hexdigest(), 16) % 100
     assert spark.range(1).select(keys.md5_mod(F.lit("f:8"), 100).alias("m")).first().m == want
+
+
+def test_long_chain_has_all_ancestors(spark):
+    chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    cut = lambda d: d.localCheckpoint()
+    got = lineage.ancestors(chain, "id", "p", checkpoint=cut)
+    assert sorted((r.node, r.ancestor, r.distance) for r in got.collect()) == [(i, j, i - j) for i in range(300) for j in range(i + 1)]
+    below = lineage.descendants(chain, "id", "p", checkpoint=cut)
+    assert sorted((r.node, r.descendants, r.height) for r in below.collect()) == [(i, 299 - i, 299 - i) for i in range(299)]
+    assert lineage.ancestors(chain, "id", "p", max_depth=2, checkpoint=cut).count() == 300 + 299 + 298
+
+
+def test_cycle_of_ancestors_is_an_error(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "n string, p string")
+    for found in (lineage.ancestors, lineage.descendants):
+        with pytest.raises(ValueError):
+            found(ring, "n", "p").count()
