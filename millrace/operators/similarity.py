@@ -11,6 +11,7 @@ from millrace.functions.keys import jaccard
 SAME_INTENT, STATE_KEYS = 0.5, 0.3
 TOP = 5
 INTENT_SIMILAR = 0.7
+BLOCK = 512
 
 
 def similar_by_state(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -65,7 +66,9 @@ def similar_word_sets(sets: DataFrame, threshold: float = INTENT_SIMILAR) -> Dat
     """Pairs of different word sets (key, words) whose Jaccard similarity is above the threshold.
 
     Words are ordered by how rare they are; similar sets must share one of their first
-    size - ceil(threshold * size) + 1 words, so only these are joined on, and sizes must be near.
+    size - ceil(threshold * size) + 1 words, so only these are joined on, and sizes must be near. By the places
+    of the first word that they share, what is left of both must suffice. One word's sets are dealt into blocks
+    of about BLOCK, and pairs of blocks are the unit of work.
     """
     sets = sets.filter(F.size("words") > 0).dropDuplicates(["key"])
     flat = sets.select("key", F.explode("words").alias("word"))
@@ -73,10 +76,15 @@ def similar_word_sets(sets: DataFrame, threshold: float = INTENT_SIMILAR) -> Dat
     ordered = flat.join(rare, "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "word"))).alias("o"))
     n = F.size("o")
     head = F.slice("o", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))
-    heads = ordered.select("key", F.explode(F.transform(head, lambda x: x["word"])).alias("word"))
-    heads = heads.join(sets.select("key", F.size("words").alias("size")), "key")
-    other = heads.select("word", F.col("key").alias("key_b"), F.col("size").alias("size_b"))
+    heads = ordered.select("key", n.alias("size"), F.posexplode(F.transform(head, lambda x: x["word"])).alias("at", "word"))
+    often = heads.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
+    heads = heads.join(often, "word").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # each set meets every block of its word once: as the left one of pairs (block, any), as the right one of (any, block)
+    left = heads.select("word", "key", "size", "at", F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
+    right = heads.select("word", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), F.col("block").alias("q"))
     near = (F.col("key") < F.col("key_b")) & (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b"))
-    pairs = heads.join(other, "word").filter(near).select(F.col("key").alias("key_a"), "key_b").distinct()
+    reach = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    enough = reach * (1 + threshold) >= threshold * (F.col("size") + F.col("size_b")) - 1e-6
+    pairs = left.join(right, ["word", "p", "q"]).filter(near & enough).select(F.col("key").alias("key_a"), "key_b").distinct()
     a, b = sets.select(F.col("key").alias("key_a"), F.col("words").alias("a")), sets.select(F.col("key").alias("key_b"), F.col("words").alias("b"))
     return pairs.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", jaccard(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") > threshold)

@@ -70,3 +70,26 @@ def test_cycle_of_ancestors_is_an_error(spark):
     for found in (lineage.ancestors, lineage.descendants):
         with pytest.raises(ValueError):
             found(ring, "n", "p").count()
+
+
+def test_similar_word_sets_of_whole_texts(spark, tmp_path, monkeypatch):
+    import hashlib
+    import itertools
+    import random
+
+    from millrace import queries
+    from millrace.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    rnd = random.Random(9)
+    pool = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(pool, 30)) for _ in range(12)]
+    texts += [" ".join(rnd.sample(t.split(), 28) + rnd.sample(pool, 2)) for t in texts for _ in range(3)]
+    opening = " ".join(f"o{i}" for i in range(12))
+    texts += [opening + " " + " ".join(pool[:25]), opening + " " + " ".join(pool[30:55]), None, "", "common " * 40]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {hashlib.sha256(" ".join(sorted(w)).encode()).hexdigest(): w for t in texts if t for w in [set(t.split())] if w}
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in itertools.combinations(sorted(sets), 2)}
+    want = {k: v for k, v in want.items() if v > 0.7}
+    got = {(r.key_a, r.key_b): r.similarity for r in queries.intent_jaccard_whole(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 20
