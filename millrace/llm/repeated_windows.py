@@ -9,7 +9,11 @@ which equal windows share at the same place. Pass 1 orders anchors by the leadin
 24-byte hash (the bucket), then within a bucket by the rest; strings of one document only leave the sort. Within
 a group of equal strings, pass 2 goes down to the whole span of windows that has this anchor: an equal
 span of a smaller document settles all of them. Where a group has several spans, pass 3 orders their
-single windows to the full depth; groups that are equal then are exactly the repeated windows.
+single windows to the full depth; groups that are equal then are the repeated windows.
+
+Bytes are compared by hashes: spans by 64 bits of the anchor and 64 of the whole span, windows by 64 bits of
+the window and 64 of its anchor. Different strings of one anchor with M contexts are taken for equal with
+a chance of about M * M / 2 ** 65, those of different anchors with M * M / 2 ** 129.
 
 Documents are dealt into splits by a hash of the id; a split sends one packed array a bucket in which
 every string occurs once, so a passage that a third of all documents share is as many entries as there
@@ -131,8 +135,8 @@ def _chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, S
     yield ids[begin:], Spans(texts[begin:])
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray, content: np.ndarray | None) -> bytes:
-    """Sorted hashes as differences, byte planes apart, and ids as places in a list of ids."""
+def _pack(hashes: np.ndarray, ids: np.ndarray, content: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte planes apart, ids as places in a list of ids, and all 64 bits of the second hash."""
     names, places = np.unique(ids, return_inverse=True)
     deltas = np.diff(hashes, prepend=np.uint64(0))
     planes = deltas.view(np.uint8).reshape(-1, 8)
@@ -141,11 +145,10 @@ def _pack(hashes: np.ndarray, ids: np.ndarray, content: np.ndarray | None) -> by
     sizes = [len(zlib.compress(planes[:, k].tobytes(), 1)) if k > 4 else len(hashes) for k in range(8)]
     names = zlib.compress(names.astype("<i8").tobytes(), 1)
     head = np.array([len(hashes), len(names), len(places), *sizes], "<i8").tobytes()
-    extra = b"" if content is None else (content >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    return head + names + places + body + extra
+    return head + names + places + body + content.astype("<u8").tobytes()
 
 
-def _unpack(blob: bytes, with_content: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, n_names, n_places, *sizes = np.frombuffer(blob, "<i8", 11).tolist()
     at = 88
     names = np.frombuffer(zlib.decompress(blob[at : at + n_names]), "<i8")
@@ -158,12 +161,7 @@ def _unpack(blob: bytes, with_content: bool) -> tuple[np.ndarray, np.ndarray, np
         planes[:, k] = np.frombuffer(zlib.decompress(raw) if k > 4 else raw, np.uint8)
         at += size
     hashes = np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
-    content = None
-    if with_content:
-        content = np.zeros((n, 8), np.uint8)
-        content[:, :5] = np.frombuffer(blob, np.uint8, n * 5, at).reshape(n, 5)
-        content = content.view(np.uint64).ravel()
-    return hashes, names[places], content
+    return hashes, names[places], np.frombuffer(blob, "<u8", n, at)
 
 
 def _first_of(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +187,7 @@ class _Split:
         self.known = doc != NO_ID
         self.doc = doc[self.known]
         anchor = np.concatenate([s.anchor for _, s in self.parts])[self.known]
-        content = np.concatenate([s.content for _, s in self.parts])[self.known] & np.uint64(0xFFFFFFFFFF000000)
+        content = np.concatenate([s.content for _, s in self.parts])[self.known]
         at, self.least, self.group = _first_of([anchor, content], self.doc)
         self.anchor, self.content = anchor[at], content[at]
 
@@ -205,7 +203,7 @@ class _Split:
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):
             part = slice(cut[b], cut[b + 1])
-            yield int(b), _pack(hashes[part], ids[part], None if content is None else content[part])
+            yield int(b), _pack(hashes[part], ids[part], content[part])
 
     def settle(self, answers: dict[int, bytes]) -> None:
         """Read pass 1's answers: 1 where a smaller document has the span, 2 where the group has several spans."""
@@ -222,11 +220,12 @@ class _Split:
         empty = np.zeros(0, np.int64)
         self.w_hash = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.uint64)
         self.w_doc = np.concatenate([own[s.doc[span]] for own, s, span, _, _ in rows]) if rows else empty
-        at, self.w_least, self.w_group = _first_of([self.w_hash], self.w_doc)
-        self.w_keys = self.w_hash[at]
+        w_anchor = np.concatenate([s.anchor[span] for _, s, span, _, _ in rows]) if rows else np.zeros(0, np.uint64)
+        at, self.w_least, self.w_group = _first_of([self.w_hash, w_anchor], self.w_doc)
+        self.w_keys, self.w_anchor = self.w_hash[at], w_anchor[at]
 
     def window_entries(self) -> Iterator[tuple[int, bytes]]:
-        yield from self._packed(self.w_keys, self.w_least, None)
+        yield from self._packed(self.w_keys, self.w_least, self.w_anchor)
 
     def covered(self, answers: dict[int, bytes]) -> Iterator[np.ndarray]:
         """For each text which of its bytes are removed."""
@@ -248,24 +247,20 @@ class _Split:
                 yield mask[i:j]
 
 
-def _judge(with_content: bool) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's entries, sorted; for each of them whether a smaller document has it and whether its group divides."""
+def _judge(spans: bool) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's entries, sorted; for each of them whether a smaller document has it and, of spans, whether its group divides."""
 
     def judge(table):
         splits, blobs = table["split"].to_pylist(), table["packed"].to_pylist()
-        parts = [_unpack(b, with_content) for b in blobs]
+        parts = [_unpack(b) for b in blobs]
         sizes = np.cumsum([0] + [len(p[0]) for p in parts])
-        hashes = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        if with_content:
-            content = np.concatenate([p[2] for p in parts])
-            at, least, group = _first_of([hashes, content], ids)
+        hashes, ids, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, least, group = _first_of([hashes, content], ids)
+        answer = least[group] < ids
+        if spans:
             _, group_of = np.unique(hashes[at], return_inverse=True)
             several = (np.bincount(group_of) > 1)[group_of][group]
-            answer = (least[group] < ids) + 2 * several.astype(np.uint8)
-        else:
-            _, least, group = _first_of([hashes], ids)
-            answer = least[group] < ids
+            answer = answer + 2 * several.astype(np.uint8)
         answer = answer.astype(np.uint8)
         packed = [zlib.compress(answer[i:j].tobytes(), 1) for i, j in zip(sizes[:-1], sizes[1:], strict=True)]
         return pa.table({"split": pa.array(splits, pa.int32()), "bucket": table["bucket"], "answer": pa.array(packed, pa.binary())})

@@ -1,5 +1,9 @@
 import hashlib
 import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
 
 from millrace.llm import repeated_windows as rw
 from tests.llm import cases
@@ -59,3 +63,31 @@ def test_pipeline_form_keeps_columns(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     text = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert text[1].text == cases.LONG and text[2].text == "" and text[2].n_chars == 0 and text[4].text is None
+
+
+def test_hashes_that_differ_in_their_low_bits_only_are_different():
+    """Both hashes of an entry are compared whole."""
+    ids, anchor = np.array([1, 2]), np.full(2, 99 << 40, np.uint64)
+    content = np.array([7 << 40, (7 << 40) + 1], np.uint64)
+    for spans in (True, False):
+        blob = rw._pack(anchor, ids, content)
+        table = pa.table({"split": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "packed": pa.array([blob], pa.binary())})
+        answer = zlib.decompress(rw._judge(spans)(table)["answer"][0].as_py())
+        assert [x & 1 for x in answer] == [0, 0], spans
+
+
+def test_contents_that_share_their_upper_bits_do_not_settle_a_span(monkeypatch):
+    """Two contexts of one phrase whose hashes are equal but for the low 24 bits: nothing is repeated."""
+    made = rw.Spans.__init__
+
+    def close(self, texts):
+        made(self, texts)
+        self.content = (self.content & np.uint64(0xFFFFFF)) | np.uint64(5 << 40)
+
+    monkeypatch.setattr(rw.Spans, "__init__", close)
+    phrase = "the same phrase of some forty bytes, here: "
+    texts = [phrase.encode() + bytes([c]) * 20 for c in b"abcdef"]
+    split = rw._Split(np.arange(6), texts, 1)
+    answers = rw._judge(True)(pa.table({"split": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "packed": pa.array([b for _, b in split.entries()], pa.binary())}))
+    split.settle({0: answers["answer"][0].as_py()})
+    assert not split.gone.any()
