@@ -52,6 +52,13 @@ def gene_fitness(genes: Column, valid: Column) -> Column:
     return F.when(F.forall(genes, lambda g: F.array_contains(valid, g)), 0.5).otherwise(0.0) + F.when(F.size(genes) > 0, 0.5 * F.size(F.array_distinct(genes)) / F.size(genes)).otherwise(0.0)
 
 
+def gene_fitness_by(rows: DataFrame, owner: str, gene: str, valid: list[str]) -> DataFrame:
+    """gene_fitness of each owner's genes, a row each; by counts, so that no history is gathered."""
+    n, bad = F.count(gene), F.max((~F.col(gene).isin(valid)).cast("int"))
+    fitness = F.when(F.coalesce(bad, F.lit(0)) == 0, 0.5).otherwise(0.0) + F.when(n > 0, 0.5 * F.count_distinct(gene) / n).otherwise(0.0)
+    return rows.groupBy(owner).agg(fitness.alias("fitness"))
+
+
 def _unit(salt: str, *cols: Column) -> Column:
     """A number in [0, 1) that follows from the row: variation is repeatable and survives retries."""
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 30)) / float(1 << 30)

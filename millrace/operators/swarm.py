@@ -78,3 +78,9 @@ def collect_results(results: DataFrame, part: str, order: str, value: str, ok: C
     """Each partition's successful values in order; partitions are bounded by what the caller deals to one."""
     good = F.sort_array(F.collect_list(F.when(ok & F.col(value).isNotNull(), F.struct(order, value))))
     return results.groupBy(part).agg(F.transform(good, lambda x: x[value]).alias("values"))
+
+
+def collected_rows(results: DataFrame, part: str, order: str, value: str, ok: Column) -> DataFrame:
+    """The successful values, a row each, sorted by partition and order; a large partition is many tasks' work."""
+    good = results.filter(ok & F.col(value).isNotNull()).select(part, order, value)
+    return good.repartitionByRange(part, order).sortWithinPartitions(part, order)

@@ -161,9 +161,18 @@ def route_alias_resolve(spark, sf_dir):
 @query("""SELECT event_id % 20 AS steps, count(*) AS n, event_id % 20 > 8 AS terminated, min(least(event_id % 20, 8)) AS hops FROM events WHERE event_type = 'signup' GROUP BY ALL""")
 def route_hop_bound(spark, sf_dir):
     """Rows that route to themselves so many times; the bound ends those that would go on."""
+    return _hop_bound(table(spark, sf_dir, "events").filter("event_type = 'signup'"))
+
+
+@query(None)
+def route_hop_bound_all(spark, sf_dir):
+    """The same of all events."""
+    return _hop_bound(table(spark, sf_dir, "events"))
+
+
+def _hop_bound(e: DataFrame) -> DataFrame:
     from millrace.operators.routing import run_hops
 
-    e = table(spark, sf_dir, "events").filter("event_type = 'signup'")
     start = e.select("event_id", (F.col("event_id") % 20).alias("steps"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("terminated"))
     start = start.withColumn("next", F.when(F.col("steps") > 0, "loop"))
     loop = lambda d: d.withColumn("hops", F.col("hops") + 1).withColumn("next", F.when(F.col("hops") < F.col("steps"), "loop"))
@@ -521,6 +530,8 @@ def adaptive_planner(spark, sf_dir):
 
 # ---- evolution
 
+VALID_GENES = ["view", "click", "signup", "purchase"]
+
 
 @query(f"""WITH {PATHS}, s AS (SELECT event_type, path, round(avg(CAST(success AS INT)) * 1000 / (avg(value) + 100), 9) AS score, min(event_id) AS seq FROM runs GROUP BY ALL)
 SELECT event_type, first(path ORDER BY score DESC, seq) AS best_path, round(max(score), 6) AS score FROM s GROUP BY 1""")
@@ -545,9 +556,15 @@ def history_best_path(spark, sf_dir):
 
 @query(f"""WITH {PATHS}, g AS (SELECT user_id, list(DISTINCT event_type) AS d, list(event_type) AS l FROM runs WHERE event_id % 10 = 0 GROUP BY 1) SELECT user_id, round(CASE WHEN list_contains(l, 'error') THEN 0 ELSE 0.5 END + 0.5 * len(d) / len(l), 6) AS fitness FROM g""".replace(" WHERE event_id % 10 = 0", " WHERE value > 150"))
 def gene_fitness(spark, sf_dir):
-    g = runs(spark, sf_dir).filter("value > 150").groupBy("user_id").agg(F.collect_list("event_type").alias("genes"))
-    valid = F.array(*[F.lit(x) for x in ("view", "click", "signup", "purchase")])
-    return g.select("user_id", r6(evolution.gene_fitness(F.col("genes"), valid), "fitness"))
+    out = evolution.gene_fitness_by(runs(spark, sf_dir).filter("value > 150"), "user_id", "event_type", VALID_GENES)
+    return out.select("user_id", r6("fitness", "fitness"))
+
+
+@query(None)
+def gene_fitness_all(spark, sf_dir):
+    """Fitness of all events of each user."""
+    out = evolution.gene_fitness_by(table(spark, sf_dir, "events"), "user_id", "event_type", VALID_GENES)
+    return out.select("user_id", r6("fitness", "fitness"))
 
 
 def _genes(spark):
@@ -897,6 +914,13 @@ def swarm_collect(spark, sf_dir):
     return out.select("part", F.array_join("values", ",").alias("values"))
 
 
+@query(None)
+def swarm_collect_all(spark, sf_dir):
+    """The successful values of all events, a row each, in order within their part."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 50).cast("int").alias("part"), "event_id", F.col("event_id").cast("string").alias("data"), "event_type")
+    return swarm.collected_rows(e, "part", "event_id", "data", F.col("event_type") != "error")
+
+
 @query(f"""WITH e(src, dst) AS (VALUES {EDGES_SQL}) SELECT DISTINCT src AS node, dst AS neighbour FROM e""")
 def capability_neighbours(spark, sf_dir):
     edges = spark.createDataFrame(EDGES, "src string, dst string")
@@ -959,3 +983,27 @@ def kv_prefix_scan(spark, sf_dir):
 @query("""SELECT i, CASE WHEN regexp_matches(text, '(?i)^(get|fetch|retrieve|list)\\s+\\w+') THEN 'fetch' WHEN regexp_matches(text, '(?i)^(create|add|insert)\\s+\\w+') THEN 'create' WHEN regexp_matches(text, '(?i)^(update|modify|edit)\\s+\\w+') THEN 'update' WHEN regexp_matches(text, '(?i)^(delete|remove)\\s+\\w+') THEN 'delete' WHEN regexp_matches(text, '(?i)^(analyze|analyse)\\s+\\w+') THEN 'analyze' WHEN regexp_matches(text, '(?i)^(search|find)\\s+\\w+') THEN 'search' WHEN regexp_matches(text, '(?i)^(recommend|suggest)\\s+\\w+') THEN 'recommend' ELSE 'unknown' END AS kind FROM """ + _PHRASES_SQL)
 def plan_simple_patterns(spark, sf_dir):
     return phrases(spark).select("i", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))
+
+
+# ---- requests of all conversations
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+
+
+@query(None)
+def intent_parse_regex_all(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text")).alias("p")).select("conv_id", "turn", "p.kind", "p.entity", "p.confidence")
+
+
+@query(None)
+def plan_default_paths_all(spark, sf_dir):
+    kind = planning.parse_intent(F.col("text"))["kind"]
+    known = ["auth.validate", "data.fetch", "validate.input", "format.apply"]
+    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(planning.plan_path(kind, planning.DEFAULT_PATHS, known), ",").alias("path"))
+
+
+@query(None)
+def plan_simple_patterns_all(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))

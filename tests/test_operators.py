@@ -93,3 +93,23 @@ def test_similar_word_sets_of_whole_texts(spark, tmp_path, monkeypatch):
     want = {k: v for k, v in want.items() if v > 0.7}
     got = {(r.key_a, r.key_b): r.similarity for r in queries.intent_jaccard_whole(spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 20
+
+
+def test_queries_over_all_rows_equal_brute_force(spark, small):
+    from collections import Counter, defaultdict
+
+    from millrace import queries
+
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    genes = defaultdict(list)
+    for e in events:
+        genes[e.user_id].append(e.event_type)
+    got = {r.user_id: r.fitness for r in queries.gene_fitness_all(spark, small).collect()}
+    assert got == {u: pytest.approx(0.5 * ("error" not in g) + 0.5 * len(set(g)) / len(g), abs=2e-6) for u, g in genes.items()}
+    hops = {(r.steps, r.terminated, r.hops): r.n for r in queries.route_hop_bound_all(spark, small).collect()}
+    assert hops == Counter((e.event_id % 20, e.event_id % 20 > 8, min(e.event_id % 20, 8)) for e in events)
+    rows = [(r.part, r.event_id, r.data) for r in queries.swarm_collect_all(spark, small).collect()]
+    assert rows == sorted((e.event_id % 50, e.event_id, str(e.event_id)) for e in events if e.event_type != "error")
+    turns = spark.read.parquet(f"{small}/conversations.parquet").count()
+    for q in (queries.intent_parse_regex_all, queries.plan_default_paths_all, queries.plan_simple_patterns_all):
+        assert q(spark, small).count() == turns
