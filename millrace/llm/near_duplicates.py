@@ -1,13 +1,13 @@
-"""Jaccard self-join on word shingles with a MinHash LSH forest and exact verification.
+"""Jaccard self-join on word shingles with MinHash bands of one depth and exact verification.
 
 Words are what white space separates; a shingle is five words in a row (all words, where there are
 fewer). Two documents are linked if the Jaccard similarity of their shingle sets is 0.8 or more.
 
 Steps. Equal word sequences are folded into one representative. Each representative's signature is
-cut into one label per tree; a trie node is a prefix of a label. Documents that share a node are
-compared by their whole signatures in the order of their labels, first within the longest prefixes,
-then within shorter ones, down to the depth at which the trees together reach the target recall;
-documents that a longer prefix has joined are not compared again. What these comparisons join is
+cut into one label per tree; a node is a label's first values, as many as the depth at which the trees
+together reach the target recall. The depth is the same for all nodes: this is plain banding, and the
+prefixes are not shortened adaptively as in an LSH forest. Documents that share a node are compared by
+their whole signatures, the node's first with all others, then the next that is left. What these comparisons join is
 a candidate class; within it, all pairs of shingle sets are verified exactly, in blocks.
 
 Large nodes and classes are dealt as pairs of blocks, so no task holds more than two blocks of them,
@@ -136,7 +136,7 @@ def _join_nodes(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
                     out_b.append(ids[i + 1 : i + 2])
                 continue
             label = sig[i:j, tree[i] * DEPTH : (tree[i] + 1) * DEPTH]
-            order = np.lexsort(label.T[::-1]) + i  # the trie's order: long common prefixes are neighbours
+            order = np.lexsort(label.T[::-1]) + i  # a fixed order; which rows are compared does not depend on it
             for cluster in _clusters(sig[order], least):
                 members = ids[order[cluster]]
                 low = members.min()  # the same root in most trees, so most edges are repeats
