@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: checkpoints, sizes and the hold-out rule."""
+"""What the operators of this subpackage share: tables that cut lineage, sizes and the hold-out rule."""
 
 from __future__ import annotations
 
@@ -8,21 +8,36 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (local tests).
+#: Used only where the session names no spark.checkpoint.dir and all runs in one process.
 LOCAL_CHECKPOINT_DIR = "/tmp/millrace-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves a local master, whose driver and executors are one process; on a cluster that is an
+    error, as executors would write to disks of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_CHECKPOINT_DIR
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut the lineage of df: write it as a table in the shared folder and read that. The table goes when the driver ends.
+
+    Unlike after DataFrame.checkpoint(), the planner knows the table's size. (A checkpoint carries the estimate of the plan before
+    it; over rounds of joins these products grow until planning takes minutes.)
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -40,6 +55,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
+def unit_hash(*columns: str) -> Column:
+    """A number from 0 to 1 from a hash of these columns."""
+    return F.pmod(F.xxhash64(F.lit(17), *columns), F.lit(1 << 30)) / float(1 << 30)
+
+
 def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, order: str = "doc_id") -> DataFrame:
     """Rows of each stratum, about per_stratum of them at most, chosen by a hash of `order`.
 
@@ -51,8 +71,7 @@ def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, order: str =
     for row in counts:
         share = min(1.0, per_stratum / row["count"])
         rate = F.when(F.col(stratum).eqNullSafe(F.lit(row[stratum])), F.lit(share)).otherwise(rate)
-    unit = F.pmod(F.xxhash64(F.lit(17), F.col(order)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(unit < rate)
+    return rows.filter(unit_hash(order) < rate)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

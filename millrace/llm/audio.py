@@ -1,13 +1,18 @@
 """Audio columns: 8-bit PCM media, polyphase resampling, log-mel frames and energy segments.
 
-`encode` stores bytes losslessly as the samples of a WAV file, `decode` reads them back; `features`
-resamples by a rational factor with a windowed-sinc polyphase filter, takes overlapped frames, their
-log-mel energies as a fixed-shape tensor of patches with the time span of each, and cuts the signal
-into segments by two energy thresholds: a segment opens above the upper and closes below the lower.
+`store` writes bytes losslessly as the samples of a WAV file in a media column; `features` reads the media
+back, resamples by a rational factor with a windowed-sinc polyphase filter, takes overlapped frames and
+their log-mel energies, and cuts the signal into segments by two energy thresholds: a segment opens above
+the upper and closes below the lower. It writes a feature table of which each row is a pack of about
+PACK_BYTES of features: three Arrow streams, of the pack's documents, of their patches, each a fixed-shape
+tensor of PATCH frames x MELS with its time span, and of their segments with theirs. Packs are columns of a
+Parquet table that Spark commits, so retries and lost executors leave nothing behind. `patches`, `segments`
+and `digests` read that table.
 
 A payload is the text's UTF-8 bytes and then spaces up to a positive multiple of 192, so null and
 empty texts have 192 bytes. Null ids are kept; repeated rows get equal values; equal texts get equal
-values, as nothing else is an input. Other columns are ignored. An empty table gives an empty result.
+values, as nothing else is an input. A long text is a pack of its own. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +36,18 @@ TAPS = 8  # of each polyphase branch, on either side of the centre
 FRAME, HOP = 256, 128  # of the resampled signal: half of every frame overlaps the next
 MELS = 16
 PATCH = 8  # frames in a tensor
+STEP = HOP / (RATE * UP / DOWN)  # seconds from frame to frame
 UPPER, LOWER = 2.0, -2.0  # decibels over the median energy
 PAD_TO = 192
+PACK_BYTES = 2 << 20
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "mel array<float>, mel_shape array<int>, patch_spans array<struct<start:double,stop:double>>, segments array<struct<start:double,stop:double>>"
-)
+PACK = "documents binary, patches binary, segments binary"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
+#: The three streams of a pack; `row` is a document's place in its pack.
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+PATCHES = pa.schema([("row", pa.int32()), ("patch", pa.int32()), ("frames", pa.int32()), ("start", pa.float64()), ("stop", pa.float64()), ("mel", TENSOR)])
+SEGMENTS = pa.schema([("row", pa.int32()), ("start", pa.float64()), ("stop", pa.float64())])
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def encode(payload: bytes, rate: int = RATE) -> bytes:
@@ -120,7 +129,7 @@ def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mel, energy
 
 
-def segments(energy: np.ndarray) -> list[tuple[int, int]]:
+def segments_of(energy: np.ndarray) -> list[tuple[int, int]]:
     """Runs of frames that rise above the upper threshold and have not fallen below the lower one."""
     level = energy - np.median(energy)
     mark = np.where(level >= UPPER, 1, np.where(level < LOWER, -1, 0))
@@ -130,62 +139,138 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def describe(samples: bytes) -> dict:
-    """Features of a payload: patches of log-mel frames, their spans and the segments, all in seconds."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    y = resample(x)
+def describe(samples: bytes) -> tuple[np.ndarray, int, list[tuple[float, float]]]:
+    """Of a payload: patches of log-mel frames (the last one padded with zeros), the number of frames, and segments in seconds."""
+    y = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
     mel, energy = log_mel(y)
-    step = HOP / (RATE * UP / DOWN)
-    found = [(a * step, (b + 1) * step) for a, b in segments(energy)]
-    patches = -(-len(mel) // PATCH)
-    tensor = np.zeros((patches * PATCH, MELS), np.float32)
-    tensor[: len(mel)] = mel
-    spans = [(k * PATCH * step, ((k + 1) * PATCH + 1) * step) for k in range(patches)]
-    means = " ".join(f"{v:.2f}" for v in mel.mean(0, dtype=np.float64))
-    loud = sum(b - a for a, b in found)
-    feature = f"frames={len(mel)} segments={len(found)} loud={loud:.3f}s mel={means}"
-    return {"mel": tensor, "mel_shape": [patches, PATCH, MELS], "patch_spans": spans, "segments": found, "feature": feature}
+    tensor = np.zeros((-(-len(mel) // PATCH), PATCH, MELS), np.float32)
+    tensor.reshape(-1, MELS)[: len(mel)] = mel
+    return tensor, len(mel), [(a * STEP, (b + 1) * STEP) for a, b in segments_of(energy)]
 
 
-def patch_array(mel: list[np.ndarray]) -> pa.Array:
-    """All patches of some rows as an Arrow array of fixed-shape tensors, PATCH x MELS each."""
-    flat = np.concatenate([np.asarray(m, np.float32).reshape(-1, PATCH * MELS) for m in mel]) if mel else np.zeros((0, PATCH * MELS), np.float32)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), PATCH * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), storage)
+def feature(mel: np.ndarray, frames: int, spans: list[tuple[float, float]]) -> str:
+    """A short text of a document's patches and segments."""
+    means = " ".join(f"{v:.2f}" for v in mel.reshape(-1, MELS)[:frames].mean(0, dtype=np.float64))
+    loud = sum(b - a for a, b in spans)
+    return f"frames={frames} segments={len(spans)} loud={loud:.3f}s mel={means}"
+
+
+def _stream(columns: list, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def _read(stream: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(stream) as got:
+        return got.read_next_batch()
+
+
+def tensors(mel: list[np.ndarray]) -> pa.ExtensionArray:
+    """Patches as an Arrow array of fixed-shape tensors."""
+    flat = np.concatenate([m.reshape(-1) for m in mel]) if mel else np.zeros(0, np.float32)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), PATCH * MELS))
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """One pack of rows of DOCUMENTS' values, patches, number of frames and segments."""
+    mel = [r[1] for r in rows]
+    counts = np.array([len(m) for m in mel])
+    patch = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
+    frames = np.minimum(PATCH, np.repeat([r[2] for r in rows], counts) - patch * PATCH)
+    documents = _stream(list(zip(*(r[0] for r in rows), strict=True)), DOCUMENTS)
+    patches = _stream([row, patch, frames.astype(np.int32), patch * (PATCH * STEP), ((patch + 1) * PATCH + 1) * STEP, tensors(mel)], PATCHES)
+    spans = [(i, a, b) for i, r in enumerate(rows) for a, b in r[3]]
+    segments = _stream([[s[k] for s in spans] for k in range(3)], SEGMENTS)
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (documents, patches, segments)], names=["documents", "patches", "segments"])
 
 
 def store(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write every text as a media column of a Parquet table and return that table, read from there."""
     path = path or fresh_path(docs.sparkSession, "media")
 
-    def to_media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
-                raw = [(t or "").encode("utf-8", "replace") for t in part["text"]]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                raw = [t or b"" for t in part["payload"].to_pylist()]
                 media = [encode(b + b" " * (-len(b) % PAD_TO if b else PAD_TO)) for b in raw]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_bytes": [len(b) for b in raw], "media": media})
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.mapInPandas(to_media, MEDIA).write.option("compression", "zstd").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("payload"))
+    rows.mapInArrow(to_media, MEDIA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def features(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """Checksums and features of a media table's rows; the tensors only on demand."""
+def features(media: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the feature table of a media table and return it, read from there: packs of documents, patches and segments."""
+    path = path or fresh_path(media.sparkSession, "features")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                out = []
-                for doc_id, n_bytes, data in batch[["doc_id", "n_bytes", "media"]].iloc[lo : lo + 500].itertuples(index=False):
-                    samples, _ = decode(data)
-                    d = describe(samples)
-                    row = (doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest(), d["feature"])
-                    spans = ([dict(start=a, stop=b) for a, b in d[k]] if tensors else None for k in ("patch_spans", "segments"))
-                    out.append((*row, d["mel"].ravel() if tensors else None, d["mel_shape"], *spans))
-                got = pd.DataFrame(out, columns=[x.split()[0] for x in FEATURES.split(", ")])
-                got["doc_id"] = got["doc_id"].astype("Int64")
-                yield got
-
-    return media.mapInPandas(read, FEATURES)
+            for i in range(batch.num_rows):
+                doc_id, n_bytes, data = (batch[c][i].as_py() for c in ("doc_id", "n_bytes", "media"))
+                samples, _ = decode(data)
+                found = describe(samples)
+                if rows and size + found[0].nbytes > PACK_BYTES:
+                    yield _packed(rows)
+                    rows, size = [], 0
+                digests = (doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(data), hashlib.sha256(data).hexdigest())
+                rows.append((digests, *found))
+                size += found[0].nbytes
+        if rows:
+            yield _packed(rows)
+
+    media.select("doc_id", "n_bytes", "media").mapInArrow(compute, PACK).write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
+def _slices(rows: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(rows, np.arange(n + 1))
+
+
+def digests(packs: DataFrame) -> DataFrame:
+    """doc_id, sizes, checksums and the feature text of every document of a feature table."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                documents, patches, segments = (_read(batch[c][i].as_py()) for c in ("documents", "patches", "segments"))
+                n = documents.num_rows
+                mel, frames = patches["mel"].to_numpy_ndarray(), patches["frames"].to_numpy()
+                spans = list(zip(segments["start"].to_pylist(), segments["stop"].to_pylist(), strict=True))
+                at, seg = _slices(patches["row"].to_numpy(), n), _slices(segments["row"].to_numpy(), n)
+                texts = [feature(mel[at[k] : at[k + 1]], int(frames[at[k] : at[k + 1]].sum()), spans[seg[k] : seg[k + 1]]) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*documents.columns, pa.array(texts, pa.string())], names=[*DOCUMENTS.names, "feature"])
+
+    return packs.mapInArrow(read, DIGESTS)
+
+
+def _parts(packs: DataFrame, stream: str, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, part = _read(batch["documents"][i].as_py())["doc_id"], _read(batch[stream][i].as_py())
+                plain = {n: part[n] for n in part.schema.names if n != "mel"} | {"doc_id": ids.take(part["row"])}
+                if stream == "patches":
+                    offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (PATCH * MELS))
+                    plain["mel"] = pa.ListArray.from_arrays(offsets, part["mel"].storage.flatten())
+                yield pa.RecordBatch.from_arrays([plain[n] for n in names], names=names)
+
+    return packs.mapInArrow(read, schema)
+
+
+def patches(packs: DataFrame) -> DataFrame:
+    """doc_id, patch, frames, start and stop (seconds) and mel (PATCH x MELS numbers, row by row) of every patch of a feature table."""
+    return _parts(packs, "patches", "doc_id long, patch int, frames int, start double, stop double, mel array<float>")
+
+
+def segments(packs: DataFrame) -> DataFrame:
+    """doc_id, start and stop (seconds) of every segment of a feature table."""
+    return _parts(packs, "segments", "doc_id long, start double, stop double")

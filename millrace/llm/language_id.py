@@ -59,24 +59,33 @@ def _scripts(words: Words, begin: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(_SCRIPT[words.buf[at]], begin) if len(begin) else np.zeros(0, np.int8)
 
 
+def _numbered(words: Words) -> np.ndarray:
+    """Whether each word has a digit."""
+    digits = np.r_[0, np.cumsum((words.buf >= 48) & (words.buf <= 57))]
+    return digits[words.stop] > digits[words.start]
+
+
 class LanguageModel:
     """Log probabilities of trigram buckets by language, and the scripts that each language uses."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, penalty: float):
         self.langs, self.penalty = langs, penalty
         smooth = counts.astype(np.float64) + 0.5
-        self.table = np.log(smooth / smooth.sum(0)).astype(np.float32)
+        share = smooth / smooth.sum(0)
+        self.table = np.log(share).astype(np.float32)
+        #: what a trigram of a language scores on average, had it not been counted itself
+        self.expected = (share * np.log((np.maximum(counts - 1, 0) + 0.5) / smooth.sum(0))).sum(0)
         share = scripts / np.maximum(scripts.sum(0), 1)
         self.barred = (share < 0.001) & (share >= 0.001).any(1, keepdims=True)
 
-    def word_scores(self, words: Words) -> np.ndarray:
-        """A score for each word and language, 0 for the best; barred languages get a low one."""
+    def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """For each word and language the log probability of its trigrams, and a score, 0 for the best; barred languages get a low one."""
         code, begin = _trigrams(words)
         if not len(begin):
-            return np.zeros((0, len(self.langs)), np.float32)
-        s = np.add.reduceat(self.table[code], begin, axis=0)
-        s[self.barred[_scripts(words, begin)]] -= 50
-        return np.maximum(s - s.max(1, keepdims=True), -12)
+            return np.zeros((0, len(self.langs)), np.float32), np.zeros((0, len(self.langs)), np.float32)
+        raw = np.add.reduceat(self.table[code], begin, axis=0)
+        s = raw - 50 * self.barred[_scripts(words, begin)]
+        return raw, np.maximum(s - s.max(1, keepdims=True), -12).astype(np.float32)
 
     def label(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best path's language of each word. All texts advance together, the longest first."""
@@ -86,10 +95,11 @@ class LanguageModel:
         starts, lengths = first[:-1][order], counts[order]
         alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         # back[w, l]: the label before, if word w has label l; only "same" or "best" occur
-        best_before = np.zeros(n, np.int8)
+        kind = np.min_scalar_type(-max(k, 1))
+        best_before = np.zeros(n, kind)
         switched = np.zeros((n, k), bool)
         v = np.zeros((len(order), k), np.float32)
-        last = np.zeros(len(order), np.int8)
+        last = np.zeros(len(order), kind)
         for t, m in enumerate(alive.tolist()):
             at = starts[:m] + t
             if t:
@@ -103,7 +113,7 @@ class LanguageModel:
             if m < len(v) or t + 1 >= len(alive) or alive[t + 1] < m:
                 done = alive[t + 1] if t + 1 < len(alive) else 0
                 last[order[done:m]] = v[done:m].argmax(1)
-        out = np.zeros(n, np.int8)
+        out = np.zeros(n, kind)
         now = last[order]
         for t in range(len(alive) - 1, -1, -1):
             m = alive[t]
@@ -113,12 +123,15 @@ class LanguageModel:
                 now[:m] = np.where(switched[at, now[:m]], best_before[at], now[:m])
         return out
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
-        """For groups of texts: their range, words, labels of the words and first words."""
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+        """For groups of texts: their range, words, labels of the words, how far the words' trigrams are above what the label's have on average (0 for words with digits), and first words."""
         for lo, hi in groups(texts):
             words = Words(texts[lo:hi])
             first = words.first_of_doc()
-            yield lo, hi, words, self.label(self.word_scores(words), first), first
+            raw, scores = self.word_scores(words)
+            labels = self.label(scores, first).astype(np.int64)
+            above = raw[np.arange(len(labels)), labels] - (words.stop - words.start) * self.expected[labels]
+            yield lo, hi, words, labels, np.where(_numbered(words), 0, above), first
 
 
 def train(docs: DataFrame, per_language: int = 3000, penalty: float = 6.0) -> LanguageModel | None:
@@ -155,10 +168,14 @@ def train(docs: DataFrame, per_language: int = 3000, penalty: float = 6.0) -> La
 
 
 def language_column(model: LanguageModel | None, text, spark, spans: bool = False):
-    """A column with lang_pred, score (the share of the text's letters that have this language) and spans."""
-    kind = "lang_pred string, score double" + ", spans array<struct<start:int,stop:int,lang:string>>" * spans
+    """A column with lang_pred, score (the share of the text's letters that have this language), evidence and spans.
+
+    Evidence is how far a trigram of the text, on average, is above (or below: negative) what its word's language has, in natural
+    logarithms. Words with digits, such as numbers and keys, are in no language and count as average.
+    """
+    kind = "lang_pred string, score double, evidence double" + ", spans array<struct<start:int,stop:int,lang:string>>" * spans
     if model is None:
-        nothing = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")]
+        nothing = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("evidence")]
         return F.struct(*nothing, *[F.array().cast("array<struct<start:int,stop:int,lang:string>>").alias("spans")] * spans)
     shared = spark.sparkContext.broadcast(model)  # bounded by languages x buckets
 
@@ -173,14 +190,15 @@ def language_column(model: LanguageModel | None, text, spark, spans: bool = Fals
 
 def _labelled(m: LanguageModel, texts: list[str | None], spans: bool) -> pd.DataFrame:
     k = len(m.langs)
-    pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+    pred, score, evidence = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
     found: list[list[dict]] = [[] for _ in texts]
-    for lo, hi, words, labels, first in m.predict(texts):
+    for lo, hi, words, labels, above, first in m.predict(texts):
         weight = np.bincount(words.doc * k + labels, words.stop - words.start, (hi - lo) * k).reshape(-1, k)
         total = weight.sum(1)
         some = total > 0
         pred[lo:hi] = np.where(some, weight.argmax(1), -1)
         score[lo:hi] = np.where(some, weight.max(1) / np.maximum(total, 1), 0)
+        evidence[lo:hi] = np.bincount(words.doc, above, hi - lo) / np.maximum(total, 1)
         if spans:
             for i in range(hi - lo):
                 own = labels[first[i] : first[i + 1]]
@@ -189,7 +207,7 @@ def _labelled(m: LanguageModel, texts: list[str | None], spans: bool) -> pd.Data
                     for a, b in zip(np.r_[0, cut], np.r_[cut, len(own)], strict=True):
                         found[lo + i].append({"start": int(a), "stop": int(b), "lang": m.langs[own[a]]})
     names = np.array([*m.langs, UNDETERMINED], object)
-    out = pd.DataFrame({"lang_pred": names[pred], "score": score})
+    out = pd.DataFrame({"lang_pred": names[pred], "score": score, "evidence": evidence})
     return out.assign(spans=found) if spans else out
 
 
@@ -201,8 +219,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, spans: bool = False)
     return out.select("doc_id", "held_out", *named, *["got.spans"] * spans)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The documents, all their columns, whose language is known with a share of at least `least`."""
+def keep_identified(docs: DataFrame, least: float = 0.35, least_evidence: float = -4.0) -> DataFrame:
+    """The documents, all their columns, whose language is known with a share of at least `least`.
+
+    A text in a language or script that was not learned, or of random letters, would still get the nearest
+    learned language; its trigrams are then far less likely than that language's own. Texts below
+    least_evidence go too. (Texts of learned languages are above -2.5 but for a few short ones, others below -4.9.)
+    """
     model = train(docs)
     got = language_column(model, F.col("text"), docs.sparkSession)
-    return docs.filter(F.coalesce((got["lang_pred"] != UNDETERMINED) & (got["score"] >= least), F.lit(False)))
+    return docs.filter(F.coalesce((got["lang_pred"] != UNDETERMINED) & (got["score"] >= least) & (got["evidence"] >= least_evidence), F.lit(False)))

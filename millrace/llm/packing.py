@@ -2,10 +2,11 @@
 
 A document's tokens are cut into pieces of at most `capacity`; only the first piece may be shorter.
 Full pieces are sequences of their own. The others are dealt into shards; several islands each evolve
-packings of a shard's pieces: crossover injects whole well-filled bins of one parent into another,
-bins with displaced duplicates are dissolved, and what they held is placed again by best fit. After each
-epoch every island sends its elite to the next island of its shard. A shard stops at the lower bound
-of its total length. Bins that stay poorly filled are dissolved and dealt again with those of other
+packings of a shard's pieces. Parents are best fit, best fit in a perturbed order, and bins filled exactly
+one by one. Crossover injects whole well-filled bins of one parent into another, bins with displaced
+duplicates are dissolved, and what they held is placed again by best fit; swaps of single pieces then move
+the room that is left into as few bins as they can. After each epoch every island sends its elite to the
+next island of its shard. A shard stops at the lower bound of its total length. Bins that stay poorly filled are dissolved and dealt again with those of other
 shards, so the loss of shards doesn't add up.
 
 Null and empty texts have one piece: the end token. Null ids are kept; repeated ids are documents
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +31,12 @@ from pyspark.sql.window import Window
 from millrace.llm._common import checkpoint
 
 SHARD_PIECES = 2000
-ISLANDS = 3
+ISLANDS = 2
 POPULATION = 4
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 7
+SWAP_ROUNDS = 8
+POOL = 1200  # pieces of bins with room that swaps look at; a matrix of them is held at once
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -71,22 +75,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and pid (a number of its own) of every piece."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                out = []
-                for doc_id, text in batch[["doc_id", "text"]].iloc[lo : lo + 1000].itertuples(index=False):
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                owner, numbers = [], []
+                for row, text in enumerate(part["text"].to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u4")
                     first = (len(ids) - 1) % capacity + 1
                     at = [0, *range(first, len(ids) + 1, capacity)]
-                    out += [(doc_id, k, i, j - i, zlib.crc32(ids[i:j].tobytes())) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True))]
-                got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                got["doc_id"] = got["doc_id"].astype("Int64")
-                yield got
+                    for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                        owner.append(row)
+                        numbers.append((k, i, j - i, zlib.crc32(ids[i:j].tobytes())))
+                columns = np.array(numbers, np.int64).reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"].take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c) for c in columns[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return checkpoint(rows.mapInPandas(cut, PIECE).withColumn("pid", F.monotonically_increasing_id()))
+    return checkpoint(rows.mapInArrow(cut, PIECE).withColumn("pid", F.monotonically_increasing_id()))
 
 
 def best_fit(lengths: np.ndarray, items: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
@@ -113,11 +121,12 @@ def _fitness(bins: list[list[int]], room: list[int], capacity: int) -> tuple[int
 
 
 def crossover(a, b, lengths: np.ndarray, capacity: int, rng: np.random.Generator):
-    """A child of two packings: a's, with some of b's well-filled bins injected."""
+    """A child of two packings: a's, with a tenth to all of b's better-filled half of bins injected."""
     bins_a, room_a = a
     bins_b, room_b = b
     by_fill = np.argsort(room_b, kind="stable")
-    chosen = [bins_b[k] for k in by_fill[: max(1, len(bins_b) // 2)] if rng.random() < 0.5] or [bins_b[by_fill[0]]]
+    share = rng.uniform(0.1, 1.0)
+    chosen = [bins_b[k] for k in by_fill[: max(1, len(bins_b) // 2)] if rng.random() < share] or [bins_b[by_fill[0]]]
     injected = {i for x in chosen for i in x}
     bins = [list(x) for x in chosen]
     loose: list[int] = []
@@ -131,6 +140,86 @@ def crossover(a, b, lengths: np.ndarray, capacity: int, rng: np.random.Generator
     return bins, room
 
 
+def swap_rooms(packing, lengths: np.ndarray, capacity: int, rounds: int = SWAP_ROUNDS):
+    """The packing after swaps of a piece of one bin for a longer one (or a piece for nothing) that fit and make the bins' rooms less even.
+
+    Fuller bins get fuller, and the room goes to the emptiest; a bin that loses its last piece is gone.
+    """
+    bins, room = [list(x) for x in packing[0]], np.array(packing[1], np.int64)
+    for _ in range(rounds):
+        loose = np.flatnonzero(room)
+        held = np.cumsum([len(bins[k]) for k in loose])
+        loose = loose[held <= POOL]
+        if len(loose) < 2:
+            break
+        items = [i for k in loose for i in bins[k]]
+        m = len(items)
+        owner = np.r_[np.repeat(loose, [len(bins[k]) for k in loose]), loose]
+        given = np.r_[lengths[items], np.zeros(len(loose), np.int64)]  # the last ones stand for giving nothing
+        more = given[None, :m] - given[:, None]
+        gain = more * (more + room[owner[:m]][None, :] - room[owner][:, None])
+        gain[(more <= 0) | (more > room[owner][:, None]) | (owner[:, None] == owner[None, :m])] = 0
+        best, with_piece = gain.max(1), gain.argmax(1)
+        touched: set[int] = set()
+        for a in np.argsort(-best, kind="stable").tolist():
+            if best[a] <= 0:
+                break
+            b = int(with_piece[a])
+            taker, giver = int(owner[a]), int(owner[b])
+            if taker in touched or giver in touched:
+                continue
+            touched |= {taker, giver}
+            bins[giver].remove(items[b])
+            bins[taker].append(items[b])
+            if a < m:
+                bins[taker].remove(items[a])
+                bins[giver].append(items[a])
+            room[taker] -= more[a, b]
+            room[giver] += more[a, b]
+        if not touched:
+            break
+    kept = [k for k in range(len(bins)) if bins[k]]
+    return [bins[k] for k in kept], [int(room[k]) for k in kept]
+
+
+def exact_fill(lengths: np.ndarray, capacity: int, rng: np.random.Generator):
+    """Bins filled one by one: the longest piece left, and the one or two pieces that leave the least room."""
+    stacks: dict[int, list[int]] = {}
+    for i in rng.permutation(len(lengths)).tolist():
+        stacks.setdefault(int(lengths[i]), []).append(i)
+    count = np.bincount(lengths, minlength=capacity + 1)
+    bins: list[list[int]] = []
+    room: list[int] = []
+
+    def take(n: int) -> int:
+        count[n] -= 1
+        return stacks[n].pop()
+
+    for top in range(int(lengths.max()), 0, -1):
+        while count[top]:
+            own, left = [take(top)], capacity - top
+            shortest = int(np.flatnonzero(count)[0]) if count.any() else capacity + 1
+            for want in range(left, shortest - 1, -1):
+                half = want // 2
+                small, large = count[1 : half + 1], count[want - 1 : want - half - 1 : -1]
+                pairs = (small > 0) & (large > 0)
+                if want % 2 == 0 and half and count[half] < 2:
+                    pairs[half - 1] = False
+                some = np.flatnonzero(pairs)
+                if count[want] and (not len(some) or rng.random() < 0.7):
+                    own.append(take(want))
+                elif len(some):
+                    n = int(rng.choice(some)) + 1
+                    own += [take(n), take(want - n)]
+                else:
+                    continue
+                left -= want
+                break
+            bins.append(own)
+            room.append(left)
+    return bins, room
+
+
 def mutate(packing, lengths: np.ndarray, capacity: int, rng: np.random.Generator):
     """Dissolve the least filled bins and a few others, and place their pieces again."""
     bins, room = packing
@@ -172,14 +261,16 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list, generati
     best = _first(lengths, capacity, None)
     if len(best[0]) == bound:
         return best
-    people = [best, *elites, *(_first(lengths, capacity, rng) for _ in range(POPULATION - 1 - len(elites)))]
+    elites = elites[: POPULATION - 2]
+    starts = [exact_fill(lengths, capacity, rng)] + [_first(lengths, capacity, rng) for _ in range(POPULATION)]
+    people = [best, *elites, *starts][:POPULATION]
     for _ in range(generations):
         people.sort(key=lambda p: _fitness(*p, capacity))
         if len(people[0][0]) == bound:
             break
-        a, b = rng.integers(0, len(people), 2)
+        a, b = rng.choice(len(people), 2, replace=False)
         child = crossover(people[min(a, b)], people[max(a, b)], lengths, capacity, rng)
-        child = mutate(child, lengths, capacity, rng)
+        child = swap_rooms(mutate(child, lengths, capacity, rng), lengths, capacity)
         if _fitness(*child, capacity) < _fitness(*people[-1], capacity):
             people[-1] = child
     return min(people, key=lambda p: _fitness(*p, capacity))

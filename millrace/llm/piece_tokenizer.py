@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -315,21 +315,23 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (an end id last) and the text decoded from them; or their digests instead."""
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ENCODED
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 out = []
-                for doc_id, text in batch[["doc_id", "text"]].iloc[lo : lo + 1000].itertuples(index=False):
+                for text in part["text"].to_pylist():
                     ids = [*m.encode(text or ""), m.end_id]
                     back = m.decode(ids)
                     if digests:
                         spelled = " ".join(map(str, ids)).encode()
-                        out.append((doc_id, len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
+                        out.append((len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
                     else:
-                        out.append((doc_id, len(ids), ids, back))
-                got = pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
-                got["doc_id"] = got["doc_id"].astype("Int64")
-                yield got
+                        out.append((len(ids), ids, back))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)

@@ -53,8 +53,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audio.features(audio.store(_table(spark, sf_dir, "documents")), tensors=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return audio.digests(audio.features(audio.store(_table(spark, sf_dir, "documents"))))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ a group of equal strings, pass 2 goes down to the whole span of windows that has
 span of a smaller document settles all of them. Where a group has several spans, pass 3 orders their
 single windows to the full depth; groups that are equal then are the repeated windows.
 
-Bytes are compared by hashes: spans by 64 bits of the anchor and 64 of the whole span, windows by 64 bits of
-the window and 64 of its anchor. Different strings of one anchor with M contexts are taken for equal with
-a chance of about M * M / 2 ** 65, those of different anchors with M * M / 2 ** 129.
+Bytes are compared by hashes: spans by 48 bits of the anchor and 64 of the whole span, windows by 112 bits of
+the window and its anchor. Different strings of one anchor with M contexts are taken for equal with
+a chance of about M * M / 2 ** 65 (3e-6 at 10 million), those of different anchors, N in all, with N * N / 2 ** 113.
 
 Documents are dealt into splits by a hash of the id; a split sends one packed array a bucket in which
 every string occurs once, so a passage that a third of all documents share is as many entries as there
@@ -43,7 +43,7 @@ from millrace.llm._text import mix
 
 WINDOW = 50
 ANCHOR = 24
-SPLIT_BYTES, SPLIT_MOST = 4 << 20, 256 << 20
+SPLIT_BYTES, SPLIT_MOST = 4 << 20, 64 << 20  # a split's task holds some eight times its bytes
 ARRAY_BYTES = 16 << 10
 CHUNK = 1 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -91,11 +91,8 @@ class Spans:
             self.first = self.count = self.doc = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
             return
-        power, inverse = _powers(n + 1)
-        self._prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * power[:n], out=self._prefix[1:])
-        self._inverse = inverse
-        grams = (self._prefix[ANCHOR:] - self._prefix[: n + 1 - ANCHOR]) * inverse[: n + 1 - ANCHOR]
+        sums, inverse = self._sums()
+        grams = (sums[ANCHOR:] - sums[: n + 1 - ANCHOR]) * inverse[: n + 1 - ANCHOR]
         key = (mix(grams) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         w = WINDOW - ANCHOR + 1
         least, span = key, 1
@@ -110,18 +107,29 @@ class Spans:
         self.first = at[new]
         self.count = np.diff(np.r_[new, len(at)])
         self.anchor = mix(grams[place[new]] ^ np.uint64(0x2545F4914F6CDD1D))
-        self.content = self.hash(self.first, self.first + self.count + WINDOW - 1)
-        self.content = mix(self.content + (place[new] - self.first).astype(np.uint64))
+        content = (sums[self.first + self.count + WINDOW - 1] - sums[self.first]) * inverse[self.first]
+        self.content = mix(content + (place[new] - self.first).astype(np.uint64))
         self.doc = np.searchsorted(self.offsets, self.first, side="right") - 1
 
-    def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self._prefix[stop] - self._prefix[start]) * self._inverse[start]
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the bytes' values times powers, and the inverse powers; made anew when needed, as they take 8 bytes for each byte of text."""
+        n = len(self.buf)
+        power, inverse = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[self.buf] * power[:n], out=sums[1:])
+        return sums, inverse
 
-    def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all windows of these spans: span, start and a hash."""
+    def starts(self, spans: np.ndarray) -> np.ndarray:
+        """Where the windows of these spans start."""
         count = self.count[spans]
-        start = np.repeat(self.first[spans] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return np.repeat(spans, count), start, mix(self.hash(start, start + WINDOW) ^ np.uint64(0x5851F42D4C957F2D))
+        return np.repeat(self.first[spans] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+    def windows(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all windows of these spans: span and a hash."""
+        start = self.starts(spans)
+        sums, inverse = self._sums()
+        hashes = mix(((sums[start + WINDOW] - sums[start]) * inverse[start]) ^ np.uint64(0x5851F42D4C957F2D))
+        return np.repeat(spans, self.count[spans]), hashes
 
 
 def _chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, Spans]]:
@@ -135,33 +143,37 @@ def _chunks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, S
     yield ids[begin:], Spans(texts[begin:])
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray, content: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte planes apart, ids as places in a list of ids, and all 64 bits of the second hash."""
+KEY_BITS = 48
+RAW_PLANES = 4  # the lower bytes of differences are random, the others mostly 0
+
+
+def _pack(keys: np.ndarray, ids: np.ndarray, second: np.ndarray) -> bytes:
+    """Sorted keys of KEY_BITS as differences, byte planes apart, ids as places in a list of ids, and all 64 bits of the second hash."""
     names, places = np.unique(ids, return_inverse=True)
-    deltas = np.diff(hashes, prepend=np.uint64(0))
-    planes = deltas.view(np.uint8).reshape(-1, 8)
-    body = b"".join(zlib.compress(planes[:, k].tobytes(), 1) if k > 4 else planes[:, k].tobytes() for k in range(8))
-    places = places.astype("<u2" if len(names) < 65536 else "<u4").tobytes()
-    sizes = [len(zlib.compress(planes[:, k].tobytes(), 1)) if k > 4 else len(hashes) for k in range(8)]
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    parts = [planes[:, k].tobytes() if k < RAW_PLANES else zlib.compress(planes[:, k].tobytes(), 1) for k in range(KEY_BITS // 8)]
+    width = 2 if len(names) < 65536 else 4
+    by_byte = places.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    parts += [by_byte[:, k].tobytes() if k == 0 else zlib.compress(by_byte[:, k].tobytes(), 1) for k in range(width)]
     names = zlib.compress(names.astype("<i8").tobytes(), 1)
-    head = np.array([len(hashes), len(names), len(places), *sizes], "<i8").tobytes()
-    return head + names + places + body + content.astype("<u8").tobytes()
+    head = np.array([len(keys), width, len(names), *map(len, parts)], "<i8").tobytes()
+    return head + names + b"".join(parts) + second.astype("<u8").tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, n_names, n_places, *sizes = np.frombuffer(blob, "<i8", 11).tolist()
-    at = 88
+    n, width, n_names = np.frombuffer(blob, "<i8", 3).tolist()
+    sizes = np.frombuffer(blob, "<i8", KEY_BITS // 8 + width, 24).tolist()
+    at = 24 + 8 * len(sizes)
     names = np.frombuffer(zlib.decompress(blob[at : at + n_names]), "<i8")
     at += n_names
-    places = np.frombuffer(blob, "<u2" if len(names) < 65536 else "<u4", n, at)
-    at += n_places
-    planes = np.empty((n, 8), np.uint8)
+    planes, by_byte = np.zeros((n, 8), np.uint8), np.zeros((n, width), np.uint8)
     for k, size in enumerate(sizes):
         raw = blob[at : at + size]
-        planes[:, k] = np.frombuffer(zlib.decompress(raw) if k > 4 else raw, np.uint8)
+        to, plain = (planes[:, k], k < RAW_PLANES) if k < KEY_BITS // 8 else (by_byte[:, k - KEY_BITS // 8], k == KEY_BITS // 8)
+        to[:] = np.frombuffer(raw if plain else zlib.decompress(raw), np.uint8)
         at += size
-    hashes = np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
-    return hashes, names[places], np.frombuffer(blob, "<u8", n, at)
+    keys = np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
+    return keys, names[by_byte.view(f"<u{width}").ravel()], np.frombuffer(blob, "<u8", n, at)
 
 
 def _first_of(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,14 +198,14 @@ class _Split:
         doc = np.concatenate([own[s.doc] if len(s.doc) else np.zeros(0, np.int64) for own, s in self.parts])
         self.known = doc != NO_ID
         self.doc = doc[self.known]
-        anchor = np.concatenate([s.anchor for _, s in self.parts])[self.known]
+        anchor = np.concatenate([s.anchor for _, s in self.parts])[self.known] >> np.uint64(64 - KEY_BITS)
         content = np.concatenate([s.content for _, s in self.parts])[self.known]
         at, self.least, self.group = _first_of([anchor, content], self.doc)
         self.anchor, self.content = anchor[at], content[at]
 
     def bucket(self, hashes: np.ndarray) -> np.ndarray:
-        """Ranges of hashes, so entries sorted by hash are sorted by bucket."""
-        return (hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        """Ranges of keys, so entries sorted by key are sorted by bucket."""
+        return (hashes >> np.uint64(KEY_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)
 
     def entries(self) -> Iterator[tuple[int, bytes]]:
         yield from self._packed(self.anchor, self.least, self.content)
@@ -218,14 +230,17 @@ class _Split:
         self.gone_of = [places[self.gone][np.searchsorted(places[self.gone], a) : np.searchsorted(places[self.gone], b)] - a for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         rows = [(own, s, *s.windows(o)) for (own, s), o in zip(self.parts, self.open_of, strict=True) if len(o)]
         empty = np.zeros(0, np.int64)
-        self.w_hash = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, np.uint64)
-        self.w_doc = np.concatenate([own[s.doc[span]] for own, s, span, _, _ in rows]) if rows else empty
-        w_anchor = np.concatenate([s.anchor[span] for _, s, span, _, _ in rows]) if rows else np.zeros(0, np.uint64)
-        at, self.w_least, self.w_group = _first_of([self.w_hash, w_anchor], self.w_doc)
-        self.w_keys, self.w_anchor = self.w_hash[at], w_anchor[at]
+        w_hash = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
+        self.w_doc = np.concatenate([own[s.doc[span]] for own, s, span, _ in rows]) if rows else empty
+        w_anchor = np.concatenate([s.anchor[span] for _, s, span, _ in rows]) if rows else np.zeros(0, np.uint64)
+        # the window's other bits go into the second hash
+        second = mix(w_anchor + (w_hash & np.uint64((1 << (64 - KEY_BITS)) - 1)) * _R)
+        w_hash = w_hash >> np.uint64(64 - KEY_BITS)
+        at, self.w_least, self.w_group = _first_of([w_hash, second], self.w_doc)
+        self.w_keys, self.w_second = w_hash[at], second[at]
 
     def window_entries(self) -> Iterator[tuple[int, bytes]]:
-        yield from self._packed(self.w_keys, self.w_least, self.w_anchor)
+        yield from self._packed(self.w_keys, self.w_least, self.w_second)
 
     def covered(self, answers: dict[int, bytes]) -> Iterator[np.ndarray]:
         """For each text which of its bytes are removed."""
@@ -237,7 +252,7 @@ class _Split:
             np.add.at(edge, s.first[gone], 1)
             np.add.at(edge, s.first[gone] + s.count[gone] + WINDOW - 1, -1)
             if len(still):
-                _, start, _ = s.windows(still)
+                start = s.starts(still)
                 hit = start[repeated[used : used + len(start)]]
                 used += len(start)
                 np.add.at(edge, hit, 1)

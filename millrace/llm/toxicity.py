@@ -6,7 +6,7 @@ Only fitting uses a sample. Thresholds are calibrated by the language that the t
 hashed words) on counts over all labelled rows, and scores are shifted so that 0.5 is that language's threshold.
 
 Null and empty texts get the score of an empty text. Rows with a null id are scored and never learned
-from. Repeated ids: every row is scored. Without any labelled row of both classes the score is 0.
+from. Repeated ids: every row is scored, and different texts of one id are fitted on by the one label. Without any labelled row of both classes the score is 0.
 Other columns of the input are ignored by `score`.
 """
 
@@ -17,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import bounded_sample, fold, held_out
+from millrace.llm._common import fold, held_out, unit_hash
 from millrace.llm._text import Words, groups
 
 BUCKETS = 1 << 17
+SAMPLE_BYTES = 32 << 20  # of texts of a class that are fitted on, at most
+LONGEST = 1 << 20  # bytes of a text that may be fitted on; longer ones still count for thresholds
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
 #: Calibration counts logits in bins of 1 / FINE, up to FAR from 0.
@@ -202,8 +205,11 @@ def _calibrate(counts: pd.DataFrame, n_langs: int, least: int = 40) -> np.ndarra
         size = int(own["bin"].max()) - lo + 1
         clean, toxic = (np.bincount(part["bin"] - lo, part["w"], size) for part in (own[own["toxic"] == 0], own[own["toxic"] == 1]))
         wrong = np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(clean[::-1])[::-1], 0]  # errors if the first i bins are clean
-        low = np.flatnonzero(np.isclose(wrong, wrong.min(), rtol=0, atol=1e-6))
-        return (lo + int(low[len(low) // 2])) / FINE
+        # of several, the one that calls the fewest texts toxic; it lies in the middle between the logits next to it
+        last = first = int(np.flatnonzero(np.isclose(wrong, wrong.min(), rtol=0, atol=1e-6))[-1])
+        while first and not clean[first - 1] and not toxic[first - 1]:
+            first -= 1
+        return (lo + (first + last + 1) // 2) / FINE
 
     out = np.full(n_langs, best(rest) if rest["toxic"].nunique() == 2 else 0.0, np.float32)
     for k, own in rest.groupby("seems"):
@@ -212,7 +218,22 @@ def _calibrate(counts: pd.DataFrame, n_langs: int, least: int = 40) -> np.ndarra
     return out
 
 
-def _counts(docs: DataFrame, toxic: DataFrame, model: TextCNN, learned: list[int]) -> pd.DataFrame:
+def _sample(docs: DataFrame, toxic: DataFrame, per_class: int, class_bytes: int) -> DataFrame:
+    """doc_id, hash and toxic of the texts to fit on: about per_class of each class and class_bytes of their bytes at most.
+
+    Texts are drawn, not ids: all copies of a text with one id are one, so a repeated id does not swell the sample. Only ids, hashes
+    and lengths are joined to the labels; each class's counts come to the driver.
+    """
+    texts = docs.filter(F.col("text").isNotNull() & (fold() != 0)).select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    texts = texts.filter(F.col("bytes") <= LONGEST).distinct().join(toxic, "doc_id")
+    rate = F.lit(0.0)
+    for row in texts.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():
+        share = min(1.0, per_class / row["n"], class_bytes / max(1, row["bytes"]))
+        rate = F.when(F.col("toxic") == row["toxic"], F.lit(share)).otherwise(rate)
+    return texts.filter(unit_hash("doc_id", "hash") < rate).select("doc_id", "hash", "toxic")
+
+
+def _counts(docs: DataFrame, toxic: DataFrame, model: TextCNN, learned: pd.DataFrame) -> pd.DataFrame:
     """Rows with a label that are not held out, by seeming language, bin of the logit, class and whether the model learned from them.
 
     Every such row counts. Texts are not shuffled: documents are judged where they are, and only their ids
@@ -221,44 +242,45 @@ def _counts(docs: DataFrame, toxic: DataFrame, model: TextCNN, learned: list[int
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits, seems = shared.value.judge(batch["text"].tolist())
+            logits, seems = shared.value.judge(batch["text"].to_pylist())
             bins = np.floor(np.clip(logits, -FAR, FAR) * FINE).astype(np.int32)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "seems": seems.astype(np.int32), "bin": bins})
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["hash"], pa.array(seems.astype(np.int32)), pa.array(bins)], names=["doc_id", "hash", "seems", "bin"])
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (fold() != 0))
-    judged = texts.mapInPandas(judge, "doc_id long, seems int, bin int").join(toxic, "doc_id")
-    known = spark.createDataFrame([(int(i), True) for i in learned], "doc_id long, learned boolean")
-    judged = judged.join(F.broadcast(known), "doc_id", "left")  # ids of the bounded sample
+    texts = docs.filter(F.col("text").isNotNull() & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    judged = texts.mapInArrow(judge, "doc_id long, hash long, seems int, bin int").join(toxic, "doc_id")
+    known = spark.createDataFrame([(int(i), int(h), True) for i, h in zip(learned["doc_id"], learned["hash"], strict=True)], "doc_id long, hash long, learned boolean")
+    judged = judged.join(F.broadcast(known), ["doc_id", "hash"], "left")  # of the bounded sample
     flag = F.coalesce("learned", F.lit(False)).alias("learned")
     counts = judged.groupBy("seems", "bin", "toxic", flag).agg(F.count("*").alias("n")).toPandas()
     shared.destroy()
     return counts
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int = 6, least_texts: int = 4) -> TextCNN | None:
-    """Fit on about per_class labelled documents of each class at most, without a fifth of them, and calibrate on all.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int = 6, least_texts: int = 4, class_bytes: int = SAMPLE_BYTES) -> TextCNN | None:
+    """Fit on about per_class labelled texts of each class at most, of about class_bytes together, without a fifth of them; calibrate on all.
 
     Buckets seen in fewer than least_texts of the texts keep a zero vector, so that rare words are not learned by heart.
-    Documents of fold 0, null ids, texts or labels take no part. Tasks hash the words; the driver gets
-    bucket numbers of that bounded sample only.
+    Documents of fold 0, null ids, texts or labels take no part, texts over LONGEST bytes none in fitting. Tasks hash the words; the
+    driver gets bucket numbers of that bounded sample only.
     """
-    toxic = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_sample(toxic.filter(fold() != 0), "toxic", per_class)
-    sample = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # ids and labels of a bounded sample
+    toxic = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    chosen = _sample(docs, toxic, per_class, class_bytes)
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text", "lang")
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])  # of a bounded sample
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch["text"].to_pylist()
             for lo, hi in groups(texts):
                 words = Words(texts[lo:hi])
                 rows, first = _buckets(words).astype("<i4"), words.first_of_doc()
                 packed = [zlib.compress(rows[i:j].tobytes(), 1) for i, j in zip(first[:-1], first[1:], strict=True)]
-                part = batch.iloc[lo:hi]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "toxic": part["toxic"], "ids": packed})
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("doc_id", "hash", "lang")), part["toxic"].cast(pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "hash", "lang", "toxic", "ids"])
 
-    rows = sample.mapInPandas(hashed, "doc_id long, lang string, toxic int, ids binary").toPandas()
+    rows = sample.select("doc_id", "hash", "lang", "toxic", "text").mapInArrow(hashed, "doc_id long, hash long, lang string, toxic int, ids binary").toPandas()
     if rows["toxic"].nunique() < 2:
         return None
     rows = rows.sort_values(["doc_id", "ids"], kind="stable").reset_index(drop=True)
@@ -278,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int
     learn = np.flatnonzero(~check)
     if len(np.unique(y[learn])) == 2:
         fit(model, [ids[i] for i in learn], y[learn], epochs)
-    model.threshold = _calibrate(_counts(docs, toxic, model, sorted(set(rows["doc_id"][learn]))), len(langs))
+    model.threshold = _calibrate(_counts(docs, toxic, model, rows.iloc[learn]), len(langs))
     return model
 
 

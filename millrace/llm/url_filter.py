@@ -6,6 +6,10 @@ others by their number of values), sibling branches are merged where neither the
 below them nor their labelled share of blocked pages differs, and a template is rejected if its
 share of blocked pages, smoothed towards its parent's, reaches one half.
 
+The tree takes in whole paths. It is built level by level; segments that all pages of a node share are one edge,
+and a node whose pages all have the same rest of the path is a leaf, so there are as many levels as paths have
+forks, not segments.
+
 DataFrame operations only. The tree is built from counts of templates, so a host with a third of all
 pages is as many rows as it has templates.
 
@@ -22,7 +26,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm._common import checkpoint
 
-DEPTH = 3  # path segments that the tree tells apart; what follows counts as one tail
 MANY_VALUES = 32  # a segment with more values than this ...
 RARE_VALUE = 4  # ... of fewer pages each than this, on average, is a variable one
 SMOOTHING = 4.0
@@ -53,20 +56,30 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def _segments(path: Column) -> Column:
-    """The path's segments with digits generalised, at most DEPTH + 1: the rest is one tail."""
-    shaped = F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#")
-    return F.split(shaped, "/", DEPTH + 1)
+    """The path's segments with digits generalised."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/", -1)
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """host, template and purity for rows of host, template (array of DEPTH + 1 segments), n, labels, blocked."""
+    """host, template and purity for rows of host, template (array of segments), n, labels, blocked."""
     labelled = checkpoint(labelled)
     nodes = labelled.groupBy("host").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b"))
     nodes = nodes.select("host", F.lit("").alias("key"), _smoothed("b", "l", F.lit(PRIOR)).alias("purity"))
     rows = labelled.select("host", "template", "n", "labels", "blocked", F.lit("").alias("key"), F.col("template").alias("left"))
-    for _ in range(DEPTH):
-        rows = rows.withColumn("seg", F.coalesce(F.get("left", F.lit(0)), F.lit(""))).withColumn("tail", F.concat_ws("/", F.slice("left", 2, DEPTH + 1)))
-        rows = rows.withColumn("left", F.slice("left", 2, DEPTH + 1))
+    done = None
+    while True:
+        # nodes whose rows have one and the same rest are leaves; what the least and the greatest rest share, all share
+        forks = rows.groupBy("host", "key").agg(F.min("left").alias("lo"), F.max("left").alias("hi")).filter("lo <> hi")
+        same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
+        forks = checkpoint(forks.select("host", "key", F.array_position(same, False).cast("int").alias("at")))
+        judged = rows.join(nodes, ["host", "key"])
+        leaves = checkpoint(judged.join(forks, ["host", "key"], "left_anti").select("host", "template", "key", "purity"))
+        done = leaves if done is None else done.unionByName(leaves)
+        if forks.isEmpty():
+            return done
+        rows = rows.join(forks, ["host", "key"]).withColumn("seg", F.coalesce(F.get("left", F.col("at") - 1), F.lit("")))
+        rows = rows.withColumn("left", F.slice("left", F.col("at") + 1, F.size("left"))).drop("at")
+        rows = rows.withColumn("tail", F.xxhash64("left"))
         branch = rows.groupBy("host", "key", "seg").agg(F.sum("n").alias("n"), F.sum("labels").alias("l"), F.sum("blocked").alias("b"))
         parent = branch.groupBy("host", "key").agg(F.count("*").alias("values"), F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         shape = rows.groupBy("host", "key", "seg", "tail").agg(F.sum("n").alias("tn"))
@@ -81,7 +94,7 @@ def template_tree(labelled: DataFrame) -> DataFrame:
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("pl")))
         differs = F.when((F.col("l") == 0) | (F.col("pl") == 0), F.lit(False)).otherwise(F.abs(F.col("b") / F.col("l") - pooled) > Z_DIFFERENT * spread + 1e-9)
         variable = (F.col("values") > MANY_VALUES) & (F.col("pn") / F.col("values") < RARE_VALUE)
-        merged = F.when(differs, F.when(variable, F.lit("*")).otherwise(F.col("seg"))).when(F.col("far") > SHAPE_DIFFERENT, F.when(variable, F.lit("*")).otherwise(F.col("seg"))).otherwise(F.lit("~"))
+        merged = F.when(differs | (F.col("far") > SHAPE_DIFFERENT), F.when(variable, F.lit("*")).otherwise(F.col("seg"))).otherwise(F.lit("~"))
         named = both.join(far, ["host", "key", "seg"]).select("host", "key", "seg", F.concat("key", F.lit("/"), merged).alias("below"))
         rows = rows.join(named, ["host", "key", "seg"])
         step = rows.groupBy("host", "key", "below").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b"))
@@ -89,7 +102,6 @@ def template_tree(labelled: DataFrame) -> DataFrame:
         # the next level reads both several times
         nodes = checkpoint(nodes)
         rows = checkpoint(rows.select("host", "template", "n", "labels", "blocked", F.col("below").alias("key"), "left"))
-    return rows.join(nodes, ["host", "key"]).select("host", "template", "key", "purity")
 
 
 def _smoothed(blocked: str, labels: str, towards: Column) -> Column:

@@ -21,7 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ from millrace.llm._common import fresh_path
 
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+INDEX_TYPES = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+RECORD_TYPES = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 READ_BYTES = 4 << 20  # a coalesced read is at most so long, unless one record is longer
 GAP_BYTES = 64 << 10  # unselected bytes that may be read along
 
@@ -43,8 +45,24 @@ def _record_id(page_id: int) -> str:
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder: a URI, or a path of this machine."""
-    return fs.FileSystem.from_uri(folder) if re.match(r"\w+:/", folder) else (fs.LocalFileSystem(), folder)
+    """The file system and path of a folder: a URI, or a path of this machine.
+
+    Spark's names of object stores are those of other libraries with another scheme; a store that Arrow can't
+    reach is an error that names it.
+    """
+    if not re.match(r"\w+:/", folder):
+        return fs.LocalFileSystem(), folder
+    uri = re.sub(r"^s3[an]:", "s3:", folder)
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives can't be written to {folder}: Arrow has no file system for it") from e
+
+
+def _rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as an Arrow batch, in which integers stay what they are beside nulls."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
 
 
 def _base32(sha1: bytes) -> str:
@@ -112,29 +130,28 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) ->
     folder = folder or fresh_path(spark, "warc")
     marked = assign(pages, least_bytes)
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = name = None
         at = 0
         for batch in batches:
             out = []
-            for page_id, sha1, url, payload, refers in zip(*(batch[c] for c in ("page_id", "sha1", "url", "payload", "refers_to")), strict=True):
+            for page_id, sha1, url, payload, refers in zip(*(batch[c].to_pylist() for c in ("page_id", "sha1", "url", "payload", "refers_to")), strict=True):
                 if archive is None:
                     system, path = _place(folder)
                     system.create_dir(path, recursive=True)
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     archive = system.open_output_stream(f"{path}/{name}", compression=None)
-                refers = None if pd.isna(refers) else int(refers)
                 digest = _base32(bytes.fromhex(sha1))
                 packer = zlib.compressobj(3, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, payload, digest, refers)) + packer.flush()
                 archive.write(member)
                 out.append((name, at, len(member), page_id, url, digest, "response" if refers is None else "revisit", refers))
                 at += len(member)
-            yield pd.DataFrame(out, columns=["archive", "offset", "length", "page_id", "url", "digest", "record_type", "refers_to"])
+            yield _rows(out, INDEX_TYPES)
         if archive is not None:
             archive.close()
 
-    marked.mapInPandas(store, INDEX).write.parquet(f"{folder}/index")
+    marked.mapInArrow(store, INDEX).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index").withColumn("folder", F.lit(folder))
 
 
@@ -153,18 +170,16 @@ def read(index: DataFrame, read_bytes: int = READ_BYTES, gap: int = GAP_BYTES) -
     ranges = rows.groupBy("folder", "archive", "run", "piece").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("parts"))
     ranges = ranges.repartition(max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "archive", "run", "piece")
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder, archive, parts in zip(batch["folder"], batch["archive"], batch["parts"], strict=True):
+            for folder, archive, parts in zip(*(batch[c].to_pylist() for c in ("folder", "archive", "parts")), strict=True):
                 system, path = _place(folder)
                 begin = parts[0]["offset"]
                 with system.open_input_file(f"{path}/{archive}") as f:
                     data = f.read_at(parts[-1]["offset"] + parts[-1]["length"] - begin, begin)
-                got = pd.DataFrame([parse(zlib.decompress(data[p["offset"] - begin : p["offset"] - begin + p["length"]], 31)) for p in parts])
-                got["refers_to"] = got["refers_to"].astype("Int64")
-                yield got
+                yield _rows([tuple(parse(zlib.decompress(data[p["offset"] - begin : p["offset"] - begin + p["length"]], 31)).values()) for p in parts], RECORD_TYPES)
 
-    return ranges.mapInPandas(fetch, RECORD)
+    return ranges.mapInArrow(fetch, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

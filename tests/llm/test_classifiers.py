@@ -1,6 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import language_id, toxicity
 from tests.llm import cases
@@ -83,3 +84,44 @@ def test_toxicity_thresholds_count_all_rows_where_the_sample_is_capped(spark):
     labels = spark.createDataFrame(labels, "doc_id long, toxic int")
     out = toxicity.score(docs, toxicity.train(docs, labels, per_class=150, epochs=3)).collect()
     assert sum(r.predicted != truth[r.doc_id] for r in out) <= 1.1 * sum(truth.values())
+
+
+def test_more_languages_than_a_byte_holds(spark):
+    rnd = random.Random(9)
+    words = {k: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(5)] for k in range(150)}
+    rows = [(1000 * k + i, " ".join(rnd.choice(words[k]) for _ in range(30))) for k in range(150) for i in range(6)]
+    docs = cases.documents(spark, rows).withColumn("lang", F.format_string("l%03d", F.floor(F.col("doc_id") / 1000)))
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 1000:03d}" for r in got) > 0.99 * len(got) and len({r.lang_pred for r in got}) == 150
+
+
+def test_unlearned_languages_scripts_and_junk_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rnd = random.Random(2)
+    odd = [
+        "Bardzo dziękuję za wiadomość, proszę przyjechać jutro rano do naszego domu nad jeziorem i zabrać ze sobą książki.",
+        "Это русский текст о погоде и природе, который никто не учил, и потому он должен уйти.",
+        "これは日本語の文章です。今日は天気がいいので、公園で本を読みます。",
+        " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(30)),
+    ]
+    columns = docs.columns
+    planted = docs.limit(4).withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
+    texts = spark.createDataFrame([(i + 1, t) for i, t in enumerate(odd)], "n int, text string")
+    planted = planted.drop("text").join(texts, "n").withColumn("doc_id", F.col("n").cast("long") + 10**9).select(*columns)
+    kept = language_id.keep_identified(docs.unionByName(planted))
+    row = kept.agg(F.sum((F.col("doc_id") >= 10**9).cast("int")).alias("odd"), F.count("*").alias("n")).first()
+    named = docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    assert not row.odd and row.n > 0.998 * named
+
+
+def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
+    docs, labels, _ = made_up(spark, 400)
+    hot = docs.filter("doc_id = 7").limit(1).crossJoin(spark.range(3000)).drop("id")  # one id, the same text
+    other = cases.documents(spark, [(8, f"other {i} " * 20) for i in range(2000)] + [(9, "w " * 700_000)])  # one id, many texts; a text too long to fit on
+    every = docs.unionByName(hot).unionByName(other)
+    toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity._sample(every, toxic, 200, 1 << 20).collect()
+    assert len(rows) == len({(r.doc_id, r.hash) for r in rows}) and len(rows) < 600
+    few = toxicity._sample(every, toxic, 10**6, 20_000).collect()
+    assert len(few) < 300
+    assert toxicity.score(every, toxicity.train(every, labels, per_class=200, epochs=1)).count() == every.count()

@@ -1,5 +1,6 @@
 import corpus_pipeline
 from millrace.llm import near_duplicates
+from tests.llm import cases
 
 
 def test_stages_in_order(spark, small):
@@ -24,3 +25,12 @@ def test_run(spark, small):
         assert r.offset == at.get(r.sequence_id, 0)
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 1024
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, clashing names and tables without rows."""
+    for name, docs in (("odd", cases.documents(spark)), ("empty", cases.empty(spark)), ("nulls", cases.nulls(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 0), (7, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(rows) > 0) == (name == "odd")

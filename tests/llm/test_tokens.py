@@ -57,6 +57,13 @@ def test_encode_odd_cases(spark):
     assert {r.n_tokens for r in piece_tokenizer.encode(cases.nulls(spark), PIECES).collect()} == {1}
 
 
+def test_large_ids_beside_nulls_stay_exact(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**53) - 1]
+    docs = cases.documents(spark, [(i, "some text") for i in ids])
+    for out in (piece_tokenizer.encode(docs, PIECES, digests=True), piece_tokenizer.encode(docs, PIECES), packing.pack(docs, BYTES)):
+        assert {r.doc_id for r in out.collect()} == set(ids)
+
+
 def check_packing(docs, capacity=64, **more):
     rows = packing.pack(docs, BYTES, capacity=capacity, **more).collect()
     at = {}
@@ -86,6 +93,37 @@ def test_packing_is_near_the_bound_over_many_shards(spark, small):
     assert used <= bound * 1.03 + 1
 
 
+def test_search_beats_best_fit_and_elites_are_kept(spark):
+    rng = np.random.default_rng(0)
+    wins = 0
+    for seed in range(12):
+        lengths = np.minimum(1023, rng.gamma(2.2, 200, 300).astype(np.int64) + 1)
+        start = packing._first(lengths, 1024, None)
+        bound = -(-int(lengths.sum()) // 1024)
+        first = [packing.evolve(lengths, 1024, 10 * seed + island, []) for island in (0, 1)]
+        second = [packing.evolve(lengths, 1024, 100 + 10 * seed + island, [first[1 - island]]) for island in (0, 1)]
+        best = [len(p[0]) for p in second]
+        for sent, got in zip(first[::-1], second):  # an island is at least as good as the elite that it was sent
+            assert packing._fitness(*got, 1024) <= packing._fitness(*sent, 1024)
+        assert bound <= min(best) <= len(start[0])
+        wins += min(best) < len(start[0])
+    assert wins
+
+
+def test_swaps_keep_pieces_and_empty_bins():
+    lengths = np.array([6, 5, 5, 4, 4, 3, 3])
+    bins, room = packing.swap_rooms(([[0, 5], [1, 3], [2, 4], [6]], [1, 1, 1, 7]), lengths, 10)
+    assert sorted(i for b in bins for i in b) == list(range(7)) and all(lengths[b].sum() + r == 10 for b, r in zip(bins, room))
+    assert len(bins) == 3  # the room of four bins was a bin's
+
+
+def test_exact_fill_packs_everything():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 100, 300)
+    bins, room = packing.exact_fill(lengths, 100, rng)
+    assert sorted(i for b in bins for i in b) == list(range(300)) and all(lengths[b].sum() + r == 100 and r >= 0 for b, r in zip(bins, room))
+
+
 def test_evolution_beats_or_equals_best_fit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(20, 60, 200)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 from millrace.llm import url_filter, warc
@@ -27,6 +28,7 @@ def check_archive(got, rows):
 
 def test_archives_round_trip(spark):
     rows = [(3, "http://a/1", "<p>é漢</p>"), (1, None, "<p>é漢</p>"), (2, "http://b\r\nX: y", None), (4, "u", ""), (5, "u", "x" * 300_000), (5, "u", "x" * 300_000), (None, "u", "y"), (6, "u", "a\r\n\r\nWARC/1.1\r\n")]
+    rows += [(2**53 + 3, "u", "twice"), (2**53 + 1, "u", "twice")]
     check_archive(warc.round_trip(pages(spark, rows)).collect(), rows)
     assert warc.round_trip(pages(spark, []).limit(0)).count() == 0
 
@@ -82,3 +84,85 @@ def test_templates_follow_labels_of_their_host(spark):
     got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows), rules).collect()}
     assert got[5] == "block" and got[105] == "allow" and got[300] == "allow"
     assert len({got[200 + i] for i in range(10)}) == 1  # numbered pages are one template
+
+
+def brute_verdicts(urls):
+    """The tree's verdicts by plain recursion over lists of pages."""
+    import math
+
+    hosts = {}
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = expected_rule(u)
+        if host:
+            parts = re.sub("[0-9]+", "#", re.sub("^/", "", path)).split("/")
+            hosts.setdefault(host, []).append((i, parts, rule is not None, verdict == "block"))
+    purity = {}
+
+    def grow(rows, prior):
+        labels, blocked = sum(r[2] for r in rows), sum(r[3] for r in rows)
+        own = (blocked + 4 * prior) / (labels + 4)
+        rests = {tuple(r[1]) for r in rows}
+        if len(rests) == 1:
+            for r in rows:
+                purity[r[0]] = own
+            return
+        lo, hi = min(rests), max(rests)
+        same = 0
+        while same < min(len(lo), len(hi)) and lo[same] == hi[same]:
+            same += 1
+        branches = {}
+        for i, left, known, bad in rows:
+            branches.setdefault(left[same] if same < len(left) else "", []).append((i, left[same + 1 :], known, bad))
+        whole = {}
+        for part in branches.values():
+            for r in part:
+                whole[tuple(r[1])] = whole.get(tuple(r[1]), 0) + 1 / len(rows)
+        below = {}
+        for seg, part in branches.items():
+            shape = {}
+            for r in part:
+                shape[tuple(r[1])] = shape.get(tuple(r[1]), 0) + 1 / len(part)
+            far = 0.5 * sum(abs(shape.get(t, 0) - whole[t]) for t in whole)
+            n, bad = sum(r[2] for r in part), sum(r[3] for r in part)
+            differs = False
+            if n and labels:
+                p = blocked / labels
+                differs = abs(bad / n - p) > 1.96 * math.sqrt(p * (1 - p) * (1 / n + 1 / labels)) + 1e-9
+            name = "~" if not differs and far <= 0.5 + 1e-12 else "*" if len(branches) > 32 and len(rows) / len(branches) < 4 else seg
+            below.setdefault(name, []).extend(part)
+        for part in below.values():
+            grow(part, own)
+
+    for rows in hosts.values():
+        grow(rows, 0.25)
+    return {i: "block" if p >= 0.5 else "allow" for i, p in purity.items()}
+
+
+def check_verdicts(spark, urls):
+    want = brute_verdicts(urls)
+    open_rows = 0
+    for r in url_filter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)]), RULES).collect():
+        _, _, rule, verdict = expected_rule(urls[r.page_id])
+        assert r.verdict == (verdict if rule else want.get(r.page_id, "allow")), urls[r.page_id]
+        open_rows += rule is None
+    return open_rows
+
+
+def test_verdicts_equal_brute_force(spark, small):
+    rnd = random.Random(5)
+    urls = []
+    for i in range(500):
+        host = rnd.choice(["a.example.com", "shop.example.com", "x.org", "other.fr"])
+        path = rnd.choice(["de/", "de/news/", "fr/", "fr/a/b/c/d/e/f/", "en/item/", "en/a/b/c/d/e/f/g/"]) + rnd.choice(["1", "2/x", "slug" + str(i), "deep/" * rnd.randrange(6) + rnd.choice("xyz")])
+        urls.append(f"https://{host}/{path}")
+    assert check_verdicts(spark, urls) > 100
+    assert check_verdicts(spark, [r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()]) > 0
+
+
+def test_deep_segments_are_told_apart(spark):
+    """The fifth segment decides: pages below it follow the labels of their own branch."""
+    rules = [("block", "h.org/a/b/c/d/bad/"), ("allow", "h.org/a/b/c/d/good/")]
+    rows = [(i, f"http://h.org/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}", "") for i in range(80)]
+    rows += [(100 + i, f"http://h.org/a/b/c/d/{'bad' if i % 2 else 'good'}", "") for i in range(10)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages(spark, rows), rules).collect()}
+    assert got[1][1] == "block" and got[2][1] == "allow" and all(got[100 + i][0] is None for i in range(10))
