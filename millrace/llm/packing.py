@@ -34,9 +34,9 @@ SHARD_PIECES = 2000
 ISLANDS = 2
 POPULATION = 4
 EPOCHS = 2
-GENERATIONS = 7
+GENERATIONS = 6
 SWAP_ROUNDS = 8
-POOL = 1200  # pieces of bins with room that swaps look at; a matrix of them is held at once
+POOL = 4000  # pieces of bins with room that swaps look at
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -156,26 +156,30 @@ def swap_rooms(packing, lengths: np.ndarray, capacity: int, rounds: int = SWAP_R
         m = len(items)
         owner = np.r_[np.repeat(loose, [len(bins[k]) for k in loose]), loose]
         given = np.r_[lengths[items], np.zeros(len(loose), np.int64)]  # the last ones stand for giving nothing
-        more = given[None, :m] - given[:, None]
-        gain = more * (more + room[owner[:m]][None, :] - room[owner][:, None])
-        gain[(more <= 0) | (more > room[owner][:, None]) | (owner[:, None] == owner[None, :m])] = 0
-        best, with_piece = gain.max(1), gain.argmax(1)
+        # only pieces longer than the own one, by no more than the own bin's room, can come: a stretch of all pieces by length
+        by_length = np.argsort(given[:m], kind="stable")
+        lo = np.searchsorted(given[by_length], given, side="right")
+        hi = np.searchsorted(given[by_length], given + room[owner], side="right")
+        taker = np.repeat(np.arange(len(given)), hi - lo)
+        coming = by_length[np.arange(len(taker)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+        more = given[coming] - given[taker]
+        gain = more * (more + room[owner[coming]] - room[owner[taker]])
+        gain[owner[coming] == owner[taker]] = 0
         touched: set[int] = set()
-        for a in np.argsort(-best, kind="stable").tolist():
-            if best[a] <= 0:
-                break
-            b = int(with_piece[a])
-            taker, giver = int(owner[a]), int(owner[b])
-            if taker in touched or giver in touched:
+        some = np.flatnonzero(gain > 0)
+        for k in some[np.argsort(-gain[some], kind="stable")].tolist():
+            a, b = int(taker[k]), int(coming[k])
+            fuller, emptier = int(owner[a]), int(owner[b])
+            if fuller in touched or emptier in touched:
                 continue
-            touched |= {taker, giver}
-            bins[giver].remove(items[b])
-            bins[taker].append(items[b])
+            touched |= {fuller, emptier}
+            bins[emptier].remove(items[b])
+            bins[fuller].append(items[b])
             if a < m:
-                bins[taker].remove(items[a])
-                bins[giver].append(items[a])
-            room[taker] -= more[a, b]
-            room[giver] += more[a, b]
+                bins[fuller].remove(items[a])
+                bins[emptier].append(items[a])
+            room[fuller] -= more[k]
+            room[emptier] += more[k]
         if not touched:
             break
     kept = [k for k in range(len(bins)) if bins[k]]
@@ -262,8 +266,8 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list, generati
     if len(best[0]) == bound:
         return best
     elites = elites[: POPULATION - 2]
-    starts = [exact_fill(lengths, capacity, rng)] + [_first(lengths, capacity, rng) for _ in range(POPULATION)]
-    people = [best, *elites, *starts][:POPULATION]
+    people = [best, *elites, exact_fill(lengths, capacity, rng)]
+    people += [_first(lengths, capacity, rng) for _ in range(POPULATION - len(people))]
     for _ in range(generations):
         people.sort(key=lambda p: _fitness(*p, capacity))
         if len(people[0][0]) == bound:
