@@ -169,3 +169,20 @@ def result_message(operation_id: Column, status: Column, error_code: Column) ->
     """The outbound payload of an operation that has ended."""
     kind = F.when(status == "succeeded", "document.vectorized").otherwise("document.failed")
     return F.struct(kind.alias("type"), operation_id.alias("operationId"), status.alias("status"), error_code.alias("errorCode"))
+
+
+def result_errors(chunk_ids: Column, result_ids: Column, vectors: Column, dimensions: int | None = None) -> Column:
+    """What is wrong with a vectorizer's answer as a whole: count, ids by position, then the first vector that is wrong; null if nothing is."""
+    size = F.size(chunk_ids)
+    swapped = F.exists(F.arrays_zip(chunk_ids.alias("a"), result_ids.alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"]))
+    uneven = F.size(F.array_distinct(F.transform(vectors, lambda v: F.size(v)))) > 1
+    first = F.get(F.filter(F.transform(vectors, lambda v: vector_errors(v, dimensions)), lambda e: e.isNotNull()), F.lit(0))
+    wrong_count = (F.size(result_ids) != size) | (F.size(vectors) != size)
+    return F.when(wrong_count, "result count differs").when(swapped, "chunk ids differ").when(first.isNotNull(), first).when(uneven, "dimensions differ")
+
+
+def mark_published(operations: DataFrame, published: DataFrame) -> DataFrame:
+    """The operations with outbox PUBLISHED where they were pending and their id is in `published` (operation_id)."""
+    sent = published.select("operation_id", F.lit(True).alias("__sent")).dropDuplicates(["operation_id"])
+    out = operations.join(sent, "operation_id", "left")
+    return out.withColumn("outbox", F.when(F.col("__sent") & (F.col("outbox") == "PENDING"), "PUBLISHED").otherwise(F.col("outbox"))).select(*operations.columns)

@@ -108,3 +108,8 @@ def tournament(population: DataFrame, individual: str, score: str, rounds: int,
     draws = population.sparkSession.range(rounds).select(F.col("id").alias("round"), F.explode(F.sequence(F.lit(1), F.lit(size))).alias("draw")).join(n)
     draws = draws.filter("n > 0").withColumn("index", F.floor(_unit("draw", F.col("round"), F.col("draw")) * F.col("n")))
     return draws.join(numbered, "index").groupBy("round").agg(F.max_by(individual, F.struct(F.col(score), -F.col(individual))).alias("winner"))
+
+
+def totals(genes: DataFrame) -> DataFrame:
+    """Over all genomes (executions, success_rate, avg_latency, fitness): their number, executions, means and the best fitness."""
+    return genes.agg(F.count("*").alias("genomes"), F.sum("executions").alias("executions"), F.avg("success_rate").alias("mean_success_rate"), F.avg("avg_latency").alias("mean_latency"), F.max("fitness").alias("best_fitness"))

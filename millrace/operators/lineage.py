@@ -11,20 +11,30 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 CHILD_LEAST, CHILD_FACTOR = 0.5, 0.9
 INHERIT_LEAST, INHERIT_FACTOR = 0.3, 0.8
 
 
-def roots(nodes: DataFrame, node: str, parent: str, max_rounds: int = 32) -> DataFrame:
-    """node, root and depth; a parent that is no node ends the chain. Cycles are an error."""
+def roots(nodes: DataFrame, node: str, parent: str, max_rounds: int = 32, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """node, root and depth; a parent that is no node ends the chain. Cycles are an error.
+
+    Every round ends in a table, so the plan of the next one does not contain it.
+    """
     known = nodes.select(F.col(node).alias("__known"))
     links = nodes.join(known, F.col(parent) == F.col("__known"), "left").select(F.col(node).alias("node"), F.col("__known").alias("up"))
     state = links.select("node", F.coalesce("up", "node").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNull().alias("done"))
+    state = checkpoint(state)
+    finished = state.filter("done")
     for _ in range(max_rounds):
-        if state.filter(~F.col("done")).isEmpty():
-            return state.select("node", "root", "depth")
+        going = state.filter(~F.col("done"))
+        if going.isEmpty():
+            return finished.select("node", "root", "depth")
         above = state.select(F.col("node").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"))
-        state = state.join(above, "root").select("node", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("done") | F.col("done2")).alias("done"))
+        step = going.join(above, "root").select("node", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"))
+        state = checkpoint(step.unionByName(finished.select(*step.columns)))
+        finished = state.filter("done")
     raise ValueError("parent links form a cycle, or a chain is longer than 2 ** max_rounds")
 
 
@@ -41,7 +51,7 @@ def _jumps(nodes: DataFrame, node: str, parent: str, checkpoint: Callable[[DataF
         jump, step = checkpoint(jump.join(above, "up").select("below", F.col("up2").alias("up"))), 2 * step
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def ancestors(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Pairs of a node and each of its ancestors with their distance; the node itself at 0.
 
     All of them, unless max_depth is given. Each round doubles the distance that is reached.
@@ -55,7 +65,7 @@ def ancestors(nodes: DataFrame, node: str, parent: str, max_depth: int | None =
     return pairs if max_depth is None else pairs.filter(F.col("distance") <= max_depth)
 
 
-def descendants(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def descendants(nodes: DataFrame, node: str, parent: str, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """How many descendants each node has (itself not counted) and how far the farthest is; nodes without any are left out.
 
     Counts of the nearer descendants are added up over doubling links, so no pairs are made unless max_depth is given.
@@ -97,19 +107,23 @@ def query(atoms: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     return atoms.filter((F.col("key") == key) & (F.col("confidence") >= least))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """start, node, distance and path of every capability that a start leads to by the shortest way.
 
-    A breadth-first round a step; a node is taken up once for each start, by the smallest path.
+    A breadth-first round a step, each ending in a table; a node is taken up once for each start, by the smallest path, so the
+    rounds end by themselves. max_depth, if given, bounds the distance.
     """
     seen = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance"), F.col("start").alias("path"))
     frontier = seen
-    for d in range(1, max_depth + 1):
+    d = 0
+    while max_depth is None or d < max_depth:
+        d += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("distance"), F.concat_ws("->", "path", "dst").alias("path"))
         new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node", "distance").agg(F.min("path").alias("path"))
-        if new.isEmpty():
+        frontier = checkpoint(new)
+        if frontier.isEmpty():
             break
-        seen, frontier = seen.unionByName(new), new
+        seen = checkpoint(seen.unionByName(frontier))
     return seen
 
 
@@ -122,3 +136,14 @@ def inherit_from_best(ranked: DataFrame, atoms: DataFrame, owner: str) -> DataFr
     """What each query (id, rank, similar_id) inherits from the most similar one."""
     best = ranked.filter("rank = 1").select("id", F.col("similar_id").alias(owner))
     return best.join(inherit(atoms, INHERIT_LEAST, INHERIT_FACTOR), owner)
+
+
+def inherited_keys(ranked: DataFrame, states: DataFrame, owner: str, state: str, path: str, least: float = 0.7) -> DataFrame:
+    """For each query (id, rank, similar_id, score) the most similar one that is similar enough, its state's keys and its path."""
+    best = select_for_inheritance(ranked, least).groupBy("id").agg(F.min_by("similar_id", "rank").alias(owner))
+    return best.join(states, owner).select("id", owner, F.array_sort(F.map_keys(state)).alias("keys"), path)
+
+
+def select_for_inheritance(ranked: DataFrame, least: float = 0.7) -> DataFrame:
+    """The candidates that are similar enough to inherit from, ranked anew among themselves (they keep their order)."""
+    return ranked.filter(F.col("score") >= least)

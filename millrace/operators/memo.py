@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,3 +96,17 @@ def dedup_stats(calls: DataFrame, capability: str, key: str) -> DataFrame:
         F.count("*").alias("unique_computations"), F.sum(F.col("n") - 1).alias("total_reuses"),
         (F.sum(F.col("n") - 1) / F.greatest(F.count("*"), F.lit(1))).alias("dedup_ratio"), (F.sum(F.col("n") - 1) / F.greatest(F.sum("n"), F.lit(1))).alias("hit_ratio"),
     )
+
+
+def persist(results: DataFrame, path: str, key: str, output: str, created: Column, ttl_s: Column) -> None:
+    """Append results to the second level, a table of key, output, created_at and expires_at."""
+    rows = results.select(F.col(key).alias("key"), F.col(output).cast("string").alias("output"), created.cast("timestamp").alias("created_at"), (created.cast("timestamp") + F.make_dt_interval(secs=ttl_s)).alias("expires_at"))
+    rows.write.mode("append").parquet(path)
+
+
+def hydrate(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """What the second level remembers at a time: of each key the last row, if it has not expired, with the seconds it has left."""
+    rows = spark.read.parquet(path).filter(F.col("created_at") <= now)
+    last = rows.groupBy("key").agg(F.max_by(F.struct("output", "created_at", "expires_at"), F.struct("created_at", "output")).alias("r")).select("key", "r.*")
+    left = F.unix_micros("expires_at") - F.unix_micros(now)
+    return last.filter(left > 0).withColumn("ttl_left_s", (left / 1_000_000).cast("long"))

@@ -84,3 +84,15 @@ def adaptive_confidence(plans: DataFrame, stats: DataFrame, path: str) -> DataFr
     """Plans' confidence times their path's success rate, where it is known, and the latency to expect."""
     out = plans.join(stats.select(path, "success_rate", "avg_latency"), path, "left")
     return out.withColumn("confidence", F.col("confidence") * F.coalesce("success_rate", F.lit(1.0))).withColumnRenamed("avg_latency", "expected_latency")
+
+
+def structured_intent(text: Column) -> Column:
+    """A struct of kind, entity and confidence from a JSON object; kind unknown and confidence 1 where it has none, null for what is no object."""
+    got = F.from_json(text, "kind string, entity string, confidence double")
+    return F.when(got.isNotNull(), F.struct(F.coalesce(got["kind"], F.lit("unknown")).alias("kind"), got["entity"].alias("entity"), F.coalesce(got["confidence"], F.lit(1.0)).alias("confidence")))
+
+
+def learn_paths(runs: DataFrame, intent: str, path: str, success: str, confidence: Column, seq: str) -> DataFrame:
+    """The path that each intent has learned: that of its last success whose plan was not certain."""
+    good = runs.filter(F.col(success) & (confidence < 1.0))
+    return good.groupBy(intent).agg(F.max_by(path, seq).alias("learned_path"))

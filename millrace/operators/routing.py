@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 MAX_HOPS = 100
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -33,14 +35,14 @@ def resolve(requests: DataFrame, aliases: DataFrame, capability: str = "capabili
     return requests.join(named, capability, "left").withColumn("resolved", F.coalesce("target", capability)).drop("target")
 
 
-def run_hops(envelopes: DataFrame, catalog: Mapping[str, Transform], max_hops: int = MAX_HOPS, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_hops(envelopes: DataFrame, catalog: Mapping[str, Transform], max_hops: int = MAX_HOPS, checkpoint: Callable[[DataFrame], DataFrame] | None = None, continue_on_error: bool = True) -> DataFrame:
     """Apply each row's next capability, again and again, until none is left or the bound is reached.
 
     A hop is one transform of each capability over the rows that are at it. Rows still on their way after
-    the bound are terminated with an error; so are rows whose capability is unknown. `checkpoint` cuts the
-    lineage; it is called after every hop, as plans grow.
+    the bound are terminated with an error; so are rows whose capability is unknown, and rows that a hop gave an error, unless
+    they go on in spite of it (continue_on_error). `checkpoint` cuts the lineage; it is called after every hop, as plans grow.
     """
-    cut = checkpoint or (lambda df: df.checkpoint())
+    checkpoint = checkpoint or cut
     columns = envelopes.columns
     rows, done = envelopes, []
     for _ in range(max_hops):
@@ -53,10 +55,13 @@ def run_hops(envelopes: DataFrame, catalog: Mapping[str, Transform], max_hops: i
         step = None
         for name, transform in catalog.items():
             part = transform(going.filter(F.col("next") == name)).select(columns)
+            if not continue_on_error:
+                failed = F.col("error").isNotNull()
+                part = part.withColumn("terminated", F.col("terminated") | failed).withColumn("next", F.when(~failed, F.col("next")))
             step = part if step is None else step.unionByName(part)
         if step is None:
             break
-        rows = cut(step)
+        rows = checkpoint(step)
         if rows.isEmpty():
             break
     else:

@@ -17,15 +17,27 @@ PIPELINE_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 def latency_percentiles(calls: DataFrame, by: str, latency: str, levels: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles, mean and count of a group's latencies.
 
-    Equal latencies are counted before they are ranked, and ranks come from running counts, so no group is
-    gathered into one row.
+    Latencies are counted by ranges half a percent wide first, a few thousand for a group; only the ranges that the wanted ranks
+    fall into are then counted value by value. So no task sorts a group, however large.
     """
-    counted = calls.filter(F.col(latency).isNotNull()).groupBy(by, latency).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(by).orderBy(latency).rowsBetween(Window.unboundedPreceding, 0)
-    total = counted.groupBy(by).agg(F.sum("c").alias("n"), (F.sum(F.col(latency) * F.col("c")) / F.sum("c")).alias("avg"))
-    ranked = counted.withColumn("upto", F.sum("c").over(upto)).join(total, by)
-    at = [F.min(F.when(F.col("upto") > F.bround(F.lit(p) * (F.col("n") - 1)), F.col(latency))).alias(f"p{round(p * 100)}") for p in levels]
-    return ranked.groupBy(by).agg(*at, F.first("avg").alias("avg"), F.first("n").alias("count"))
+    x = F.col(latency).cast("double")
+    size = F.abs(x)
+    place = F.floor(F.log(size) * 200).cast("long") + 1_000_000  # grows with the value, as the logarithm does
+    kept = calls.filter(F.col(latency).isNotNull()).withColumn(
+        "__range", F.when(F.isnan(x), F.lit(4_000_000)).when(size == float("inf"), F.signum(x).cast("long") * 3_000_000).when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * place).cast("long")
+    )
+    ranges = kept.groupBy(by, "__range").agg(F.count("*").alias("__c"), F.sum(latency).alias("__s"))
+    ordered = Window.partitionBy(by).orderBy("__range")
+    ranges = ranges.withColumn("__before", F.sum("__c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
+    whole = Window.partitionBy(by)
+    ranges = ranges.withColumn("__n", F.sum("__c").over(whole)).withColumn("__avg", F.sum("__s").over(whole) / F.sum("__c").over(whole))
+    ranks = F.array(*[F.bround(F.lit(p) * (F.col("__n") - 1)).cast("long") for p in levels])
+    wanted = ranges.select("*", F.posexplode(ranks).alias("__level", "__rank")).filter((F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__c")))
+    values = kept.join(wanted.select(by, "__range").distinct(), [by, "__range"]).groupBy(by, "__range", latency).agg(F.count("*").alias("__k"))
+    values = values.withColumn("__upto", F.sum("__k").over(Window.partitionBy(by, "__range").orderBy(latency).rowsBetween(Window.unboundedPreceding, 0)))
+    found = wanted.join(values, [by, "__range"]).filter(F.col("__upto") > F.col("__rank") - F.col("__before")).groupBy(by, "__level").agg(F.min(latency).alias("__v"), F.first("__avg").alias("__avg"), F.first("__n").alias("__n"))
+    at = [F.min(F.when(F.col("__level") == i, F.col("__v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(levels)]
+    return found.groupBy(by).agg(*at, F.first("__avg").alias("avg"), F.first("__n").alias("count"))
 
 
 def small_percentile(values: Column, p: float) -> Column:

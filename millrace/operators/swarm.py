@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,36 +50,47 @@ def map_reduce(items: DataFrame, part: Column, value: str) -> DataFrame:
 
 
 def guarded_map(items: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], schema: str) -> DataFrame:
-    """Rows with result and error: a batch that fails is repeated row by row, so one item's failure stays its own."""
+    """Rows with result and error: a batch that fails is halved until the items that fail are alone, so a failure stays its own."""
+
+    def solve(rows: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [rows.assign(result=fn(rows), error=None)]
+        except Exception as e:
+            if len(rows) == 1:
+                return [rows.assign(result=None, error=str(e))]
+            half = len(rows) // 2
+            return solve(rows.iloc[:half]) + solve(rows.iloc[half:])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from solve(batch)
+
+    return items.mapInPandas(run, schema)
+
+
+def shared_map(items: DataFrame, fn: Callable[[pd.DataFrame, Mapping], pd.DataFrame], shared: Mapping, schema: str) -> DataFrame:
+    """Rows mapped batch by batch by a function that also sees a shared state: a small mapping that all workers of this call read."""
+    state = items.sparkSession.sparkContext.broadcast(dict(shared))  # as small as the driver's mapping
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield batch.assign(result=fn(batch), error=None)
-            except Exception:
-                out = []
-                for i in range(len(batch)):
-                    row = batch.iloc[i : i + 1]
-                    try:
-                        out.append(row.assign(result=fn(row), error=None))
-                    except Exception as e:
-                        out.append(row.assign(result=None, error=str(e)))
-                yield pd.concat(out)
+            yield fn(batch, state.value)
 
     return items.mapInPandas(run, schema)
 
 
+def status(items: DataFrame, part: str, order: str, done: Column) -> DataFrame:
+    """Of each partition: how many items, how many are done, the first and the last one, and whether it is finished."""
+    counts = items.groupBy(part).agg(F.count("*").alias("items"), F.sum(done.cast("long")).alias("done"), F.min(order).alias("first_item"), F.max(order).alias("last_item"))
+    return counts.withColumn("finished", F.col("items") == F.col("done"))
+
+
 def error_rate(results: DataFrame, error: Column) -> DataFrame:
     """Workers, errors and their share."""
     return results.agg(F.count("*").alias("worker_count"), F.sum(error.cast("long")).alias("error_count"), F.avg(error.cast("double")).alias("error_rate"))
 
 
-def collect_results(results: DataFrame, part: str, order: str, value: str, ok: Column) -> DataFrame:
-    """Each partition's successful values in order; partitions are bounded by what the caller deals to one."""
-    good = F.sort_array(F.collect_list(F.when(ok & F.col(value).isNotNull(), F.struct(order, value))))
-    return results.groupBy(part).agg(F.transform(good, lambda x: x[value]).alias("values"))
-
-
 def collected_rows(results: DataFrame, part: str, order: str, value: str, ok: Column) -> DataFrame:
     """The successful values, a row each, sorted by partition and order; a large partition is many tasks' work."""
     good = results.filter(ok & F.col(value).isNotNull()).select(part, order, value)

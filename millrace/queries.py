@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import keys
-from millrace.operators import change, documents, evolution, lineage, memo, placement, planning, resilience, routing, similarity, stats, swarm
+from millrace.operators import change, documents, evolution, features, lineage, memo, placement, planning, resilience, routing, similarity, stats, swarm
+from millrace.session import shared_path
+from millrace.sources import requests
 from millrace.streaming import topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,34 +160,28 @@ def route_alias_resolve(spark, sf_dir):
     return routing.resolve(table(spark, sf_dir, "events"), aliases, "event_type").select("event_id", "resolved")
 
 
-@query("""SELECT event_id % 20 AS steps, count(*) AS n, event_id % 20 > 8 AS terminated, min(least(event_id % 20, 8)) AS hops FROM events WHERE event_type = 'signup' GROUP BY ALL""")
+@query("""SELECT event_id % 20 AS steps, count(*) AS n, event_id % 20 > 8 AS terminated, min(least(event_id % 20, 8)) AS hops FROM events GROUP BY ALL""")
 def route_hop_bound(spark, sf_dir):
     """Rows that route to themselves so many times; the bound ends those that would go on."""
-    return _hop_bound(table(spark, sf_dir, "events").filter("event_type = 'signup'"))
-
-
-@query(None)
-def route_hop_bound_all(spark, sf_dir):
-    """The same of all events."""
-    return _hop_bound(table(spark, sf_dir, "events"))
-
-
-def _hop_bound(e: DataFrame) -> DataFrame:
-    from millrace.operators.routing import run_hops
-
+    e = table(spark, sf_dir, "events")
     start = e.select("event_id", (F.col("event_id") % 20).alias("steps"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("terminated"))
     start = start.withColumn("next", F.when(F.col("steps") > 0, "loop"))
     loop = lambda d: d.withColumn("hops", F.col("hops") + 1).withColumn("next", F.when(F.col("hops") < F.col("steps"), "loop"))
-    out = run_hops(start, {"loop": loop}, 8, checkpoint=_cut)
+    out = routing.run_hops(start, {"loop": loop}, 8)
     return out.groupBy("steps", "terminated").agg(F.count("*").alias("n"), F.min("hops").alias("hops")).select("steps", "n", "terminated", "hops")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-checkpoints")
-    return df.checkpoint()
+@query("""SELECT event_id, m AS mode, CASE WHEN event_type = 'error' AND m = 'stop' THEN 1 ELSE 2 END AS hops, event_type = 'error' AND m = 'stop' AS terminated FROM events, (SELECT unnest(['stop', 'go on']) AS m)""")
+def route_continue_on_error(spark, sf_dir):
+    """Two hops, the first of which fails for errors: with and without going on."""
+    start = table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("terminated"), F.lit("first").alias("next"))
+    hop = lambda d: d.withColumn("hops", F.col("hops") + 1)
+    catalog = {
+        "first": lambda d: hop(d).withColumn("error", F.when(F.col("event_type") == "error", "failed")).withColumn("next", F.lit("second")),
+        "second": lambda d: hop(d).withColumn("next", F.lit(None).cast("string")),
+    }
+    runs = [routing.run_hops(start, catalog, continue_on_error=go).select("event_id", F.lit(mode).alias("mode"), "hops", "terminated") for mode, go in (("stop", False), ("go on", True))]
+    return runs[0].unionByName(runs[1])
 
 
 @query("""SELECT event_id, CAST(round(value * 2, 4) AS VARCHAR) AS double, CASE WHEN event_type <> 'error' THEN event_type END AS named FROM events""")
@@ -391,12 +387,12 @@ def lineage_root_path(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, c AS (SELECT node, node AS a, 0 AS distance FROM nodes UNION ALL SELECT c.node, p.node, c.distance + 1 FROM c JOIN nodes n ON n.node = c.a JOIN nodes p ON p.node = n.parent) SELECT a AS node, count(*) AS descendants, max(distance) AS height FROM c WHERE distance > 0 GROUP BY 1""")
 def lineage_descendants(spark, sf_dir):
-    return lineage.descendants(nodes(spark, sf_dir), "node", "parent", checkpoint=_cut)
+    return lineage.descendants(nodes(spark, sf_dir), "node", "parent")
 
 
 @query(f"""WITH RECURSIVE {NODES_SQL}, c AS (SELECT node, node AS ancestor, 0 AS distance FROM nodes UNION ALL SELECT c.node, p.node, c.distance + 1 FROM c JOIN nodes n ON n.node = c.ancestor JOIN nodes p ON p.node = n.parent) SELECT node, ancestor, distance FROM c""")
 def memory_ancestry(spark, sf_dir):
-    return lineage.ancestors(nodes(spark, sf_dir), "node", "parent", checkpoint=_cut)
+    return lineage.ancestors(nodes(spark, sf_dir), "node", "parent")
 
 
 @query("""SELECT d.doc_id AS child, d.source AS key, round((0.3 + 0.5 * quality) * 0.9, 6) AS confidence FROM documents d JOIN labels l ON l.doc_id = d.doc_id // 2 WHERE 0.3 + 0.5 * quality > 0.5""")
@@ -468,18 +464,8 @@ def similar_weighted_index(spark, sf_dir):
     return out.select("id", "rank", "similar_id", r6("score", "score"))
 
 
-@query("""WITH w AS (SELECT item_id // 1 AS i, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS words FROM documents_intents), k AS (SELECT DISTINCT array_to_string(words, ' ') AS key, words FROM w WHERE len(words) > 0)
-SELECT a.key AS key_a, b.key AS key_b, round(len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)), 6) AS similarity FROM k a JOIN k b ON a.key < b.key WHERE len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) > 0.7""".replace("item_id // 1 AS i, ", "").replace("documents_intents", "(SELECT regexp_extract(text, '^(\\s*\\S+){1,12}') AS text FROM documents)"))
-def intent_jaccard(spark, sf_dir):
-    """Different intents, the first twelve words of a document, whose word sets are nearly the same."""
-    text = F.regexp_extract("text", r"^(\s*\S+){1,12}", 0)
-    sets = table(spark, sf_dir, "documents").select(F.array_sort(keys.words(text)).alias("words"))
-    out = similarity.similar_word_sets(sets.withColumn("key", F.array_join("words", " ")))
-    return out.select("key_a", "key_b", r6("similarity", "similarity"))
-
-
 @query(None)
-def intent_jaccard_whole(spark, sf_dir):
+def intent_jaccard(spark, sf_dir):
     """Documents' word sets, of whole texts, that are nearly the same; a set's key is the SHA-256 of its words."""
     sets = table(spark, sf_dir, "documents").select(F.array_sort(keys.words(F.col("text"))).alias("words"))
     out = similarity.similar_word_sets(sets.withColumn("key", F.sha2(F.array_join("words", " "), 256)))
@@ -498,34 +484,48 @@ def plan_keywords(spark, sf_dir):
     return d.select("doc_id", F.array_join(planning.plan_by_keywords(F.col("text"), KEYWORDS, ["fallback"]), ",").alias("plan"))
 
 
-PHRASES = ["get user orders", "LIST things", "Create order now", "modify item", "drop table", "analyse sales data", "convert csv", "count users", "render page", "check input", "run job", "what is this", "", "fetch"]
-_PHRASES_SQL = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES)) + ") AS p(i, text)"
 _KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){pattern}') THEN '{kind}'" for kind, pattern in planning.INTENT_PATTERNS) + " ELSE 'unknown' END"
 _ENTITY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){pattern}') THEN regexp_extract(text, '(?i){pattern}', 2)" for _, pattern in planning.INTENT_PATTERNS) + " END"
 
 
-def phrases(spark):
-    return spark.createDataFrame(list(enumerate(PHRASES)), "i int, text string")
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
-@query(f"""SELECT i, {_KIND_SQL} AS kind, {_ENTITY_SQL} AS entity, CASE WHEN {_KIND_SQL} = 'unknown' THEN 0.1 ELSE 0.9 END::DOUBLE AS confidence FROM {_PHRASES_SQL}""")
+@query(f"""SELECT conv_id, turn, {_KIND_SQL} AS kind, {_ENTITY_SQL} AS entity, CASE WHEN {_KIND_SQL} = 'unknown' THEN 0.1 ELSE 0.9 END::DOUBLE AS confidence FROM conversations""")
 def intent_parse_regex(spark, sf_dir):
-    return phrases(spark).select("i", planning.parse_intent(F.col("text")).alias("p")).select("i", "p.kind", "p.entity", "p.confidence")
+    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text")).alias("p")).select("conv_id", "turn", "p.kind", "p.entity", "p.confidence")
 
 
-@query(f"""WITH k AS (SELECT i, {_KIND_SQL} AS kind FROM {_PHRASES_SQL}) SELECT i, CASE kind WHEN 'format' THEN 'format.apply' WHEN 'validate' THEN 'validate.input' WHEN 'fetch' THEN 'auth.validate,data.fetch' WHEN 'create' THEN 'auth.validate,validate.input' WHEN 'update' THEN 'auth.validate,validate.input'
+@query(f"""WITH k AS (SELECT conv_id, turn, {_KIND_SQL} AS kind FROM conversations) SELECT conv_id, turn, CASE kind WHEN 'format' THEN 'format.apply' WHEN 'validate' THEN 'validate.input' WHEN 'fetch' THEN 'auth.validate,data.fetch' WHEN 'create' THEN 'auth.validate,validate.input' WHEN 'update' THEN 'auth.validate,validate.input'
 WHEN 'analyze' THEN 'auth.validate,data.fetch' WHEN 'aggregate' THEN 'auth.validate,data.fetch' WHEN 'delete' THEN 'auth.validate' WHEN 'transform' THEN 'auth.validate' WHEN 'compute' THEN 'auth.validate' ELSE '' END AS path FROM k""")
 def plan_default_paths(spark, sf_dir):
     kind = planning.parse_intent(F.col("text"))["kind"]
     known = ["auth.validate", "data.fetch", "validate.input", "format.apply"]
-    return phrases(spark).select("i", F.array_join(planning.plan_path(kind, planning.DEFAULT_PATHS, known), ",").alias("path"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(planning.plan_path(kind, planning.DEFAULT_PATHS, known), ",").alias("path"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 'unknown' ELSE event_type END AS kind, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props END AS entity, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 0.25 ELSE 1.0 END::DOUBLE AS confidence FROM events""")
+def structured_intent(spark, sf_dir):
+    """Intents given as JSON objects; fields may be missing, and some are no objects."""
+    kind = F.when(F.col("event_id") % 7 != 1, F.col("event_type"))
+    given = F.to_json(F.struct(kind.alias("kind"), F.col("props").alias("entity"), F.when(F.col("event_id") % 2 == 0, 0.25).alias("confidence")))
+    out = planning.structured_intent(F.when(F.col("event_id") % 7 != 0, given))
+    return table(spark, sf_dir, "events").select("event_id", out.alias("i")).select("event_id", "i.kind", "i.entity", "i.confidence")
 
 
-@query(f"""WITH {PATHS}, s AS (SELECT path, avg(CAST(success AS INT)) AS rate, avg(value) AS lat FROM runs GROUP BY 1) SELECT i, path, round(0.9 * rate, 6) AS confidence, round(lat, 6) AS expected_latency FROM (VALUES (0, 'view->click'), (1, 'error->view')) p(i, path) JOIN s USING (path)""")
+@query(f"""WITH {PATHS} SELECT user_id, max_by(path, event_id) AS learned_path FROM runs WHERE success AND value < 100 GROUP BY 1""")
+def learned_paths(spark, sf_dir):
+    return planning.learn_paths(runs(spark, sf_dir), "user_id", "path", "success", F.when(F.col("value") < 100, 0.9).otherwise(1.0), "event_id")
+
+
+@query(f"""WITH {PATHS} SELECT path, round(0.9 * avg(CAST(success AS INT)), 6) AS confidence, round(avg(value), 6) AS expected_latency FROM runs GROUP BY 1""")
 def adaptive_planner(spark, sf_dir):
-    plans = spark.createDataFrame([(0, "view->click", 0.9), (1, "error->view", 0.9)], "i int, path string, confidence double")
-    out = planning.adaptive_confidence(plans, evolution.path_stats(runs(spark, sf_dir), "path", "success", "value"), "path")
-    return out.select("i", "path", r6("confidence", "confidence"), r6("expected_latency", "expected_latency"))
+    """A plan for each path that was ever taken."""
+    r = runs(spark, sf_dir)
+    plans = r.select("path").distinct().withColumn("confidence", F.lit(0.9))
+    out = planning.adaptive_confidence(plans, evolution.path_stats(r, "path", "success", "value"), "path")
+    return out.select("path", r6("confidence", "confidence"), r6("expected_latency", "expected_latency"))
 
 
 # ---- evolution
@@ -554,19 +554,21 @@ def history_best_path(spark, sf_dir):
     return out.select("user_id", "path", r6("success_rate", "success_rate"), r6("avg_latency", "avg_latency"))
 
 
-@query(f"""WITH {PATHS}, g AS (SELECT user_id, list(DISTINCT event_type) AS d, list(event_type) AS l FROM runs WHERE event_id % 10 = 0 GROUP BY 1) SELECT user_id, round(CASE WHEN list_contains(l, 'error') THEN 0 ELSE 0.5 END + 0.5 * len(d) / len(l), 6) AS fitness FROM g""".replace(" WHERE event_id % 10 = 0", " WHERE value > 150"))
+@query("""WITH g AS (SELECT user_id, count(DISTINCT event_type) AS d, count(*) AS n, max(CAST(event_type = 'error' AS INT)) AS bad FROM events GROUP BY 1) SELECT user_id, round(CASE WHEN bad = 1 THEN 0 ELSE 0.5 END + 0.5 * d / n, 6) AS fitness FROM g""")
 def gene_fitness(spark, sf_dir):
-    out = evolution.gene_fitness_by(runs(spark, sf_dir).filter("value > 150"), "user_id", "event_type", VALID_GENES)
-    return out.select("user_id", r6("fitness", "fitness"))
-
-
-@query(None)
-def gene_fitness_all(spark, sf_dir):
     """Fitness of all events of each user."""
     out = evolution.gene_fitness_by(table(spark, sf_dir, "events"), "user_id", "event_type", VALID_GENES)
     return out.select("user_id", r6("fitness", "fitness"))
 
 
+@query(f"""WITH {PATHS}, g AS (SELECT path, count(*) AS e, round(avg(CAST(success AS INT)), 6) AS s, round(avg(value), 6) AS l, round(first(0.7 * CAST(success AS INT) + 0.3 * greatest(0, 1 - value / 10000) ORDER BY event_id), 6) AS f FROM runs GROUP BY 1)
+SELECT count(*) AS genomes, CAST(sum(e) AS BIGINT) AS executions, round(avg(s), 5) AS mean_success_rate, round(avg(l), 5) AS mean_latency, max(f) AS best_fitness FROM g""")
+def dna_statistics(spark, sf_dir):
+    g = genome_fitness_best(spark, sf_dir)
+    out = evolution.totals(g)
+    return out.select("genomes", "executions", F.round("mean_success_rate", 5).alias("mean_success_rate"), F.round("mean_latency", 5).alias("mean_latency"), "best_fitness")
+
+
 def _genes(spark):
     pool = F.array(*[F.lit(c) for c in "abcdef"])
     return spark.range(200).select("id", F.array(*[F.element_at(pool, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6)) + 1).cast("int")) for k in range(6)]).alias("genes"), pool.alias("pool"))
@@ -598,8 +600,8 @@ def tournament(spark, sf_dir):
 @query("""WITH b AS (SELECT c_custkey, ('0x' || md5('checkout:' || c_custkey))::UHUGEINT % 100 AS m FROM customer) SELECT c_custkey, CASE WHEN m < 50 THEN 'control' WHEN m < 80 THEN 'blue' ELSE 'green' END AS variant FROM b""")
 def feature_variant_bucket(spark, sf_dir):
     """A variant by cumulative shares of 50, 30 and 20 percent."""
-    m = keys.md5_mod(F.concat(F.lit("checkout:"), F.col("c_custkey").cast("string")), 100)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(m < 50, "control").when(m < 80, "blue").otherwise("green").alias("variant"))
+    out = features.variant("checkout", F.col("c_custkey"), [("control", 50), ("blue", 30), ("green", 20)])
+    return table(spark, sf_dir, "customer").select("c_custkey", out.alias("variant"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey % 2 = 0 WHEN c_mktsegment = 'MACHINERY' THEN FALSE ELSE TRUE END AS enabled FROM customer""")
@@ -607,29 +609,28 @@ def feature_enabled_override(spark, sf_dir):
     """A tenant's override, false where its table has the tenant but no value; else the flag itself."""
     c = table(spark, sf_dir, "customer")
     override = c.filter("c_mktsegment in ('BUILDING', 'MACHINERY')").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") % 2 == 0).alias("own"), F.lit(True).alias("listed"))
-    return c.join(override, "c_custkey", "left").select("c_custkey", F.when(F.col("listed"), F.coalesce("own", F.lit(False))).otherwise(F.lit(True)).alias("enabled"))
+    return c.join(override, "c_custkey", "left").select("c_custkey", features.enabled(F.lit(True), F.col("listed"), F.col("own")).alias("enabled"))
 
 
 @query("""SELECT c_custkey, c_nationkey < 5 OR c_mktsegment = 'BUILDING' AS access FROM customer""")
 def tenant_access(spark, sf_dir):
     """An empty list of allowed capabilities allows all."""
     allowed = F.when(F.col("c_nationkey") < 5, F.array().cast("array<string>")).otherwise(F.array("c_mktsegment"))
-    return table(spark, sf_dir, "customer").select("c_custkey", ((F.size(allowed) == 0) | F.array_contains(allowed, "BUILDING")).alias("access"))
+    return table(spark, sf_dir, "customer").select("c_custkey", features.has_access(allowed, "BUILDING").alias("access"))
 
 
 @query("""SELECT d.doc_id, round(0.5 * (CASE WHEN l.doc_id IS NOT NULL THEN 1.0 ELSE 2.0 / 3 END) + 0.5 * ((CASE WHEN d.text <> '' THEN 1 ELSE 0 END + CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END + CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) / 3.0), 6) AS confidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def heuristic_confidence(spark, sf_dir):
     """Half for the share of expected keys that are there, half for the share of values that say something."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    complete = F.when(F.col("quality").isNotNull(), 1.0).otherwise(2.0 / 3)
-    filled = (F.coalesce((F.col("text") != "").cast("int"), F.lit(0)) + (F.col("lang") == "en").cast("int") + F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))) / 3.0
-    return d.select("doc_id", r6(0.5 * complete + 0.5 * filled, "confidence"))
+    out = features.heuristic_confidence([F.lit(True), F.lit(True), F.col("quality").isNotNull()], [F.col("text") != "", F.col("lang") == "en", F.col("quality") == 1])
+    return d.select("doc_id", r6(out, "confidence"))
 
 
 @query("""WITH c AS (SELECT doc_id, 0.5 + 0.2 * quality + 0.15 * (1 - toxic) AS c FROM labels) SELECT doc_id, round(c, 6) AS confidence, CASE WHEN round(c, 6) >= 0.9 THEN 'final' WHEN round(c, 6) >= 0.7 THEN 'partial' ELSE 'wait' END AS gate FROM c""")
 def partial_gate(spark, sf_dir):
-    c = F.round(0.5 + 0.2 * F.col("quality") + 0.15 * (1 - F.col("toxic")), 6)
-    return table(spark, sf_dir, "labels").select("doc_id", c.alias("confidence"), F.when(c >= 0.9, "final").when(c >= 0.7, "partial").otherwise("wait").alias("gate"))
+    c = F.round(features.estimate_confidence(F.col("quality") == 1, F.col("toxic") == 0), 6)
+    return table(spark, sf_dir, "labels").select("doc_id", c.alias("confidence"), features.gate(c).alias("gate"))
 
 
 @query("""SELECT doc_id, round(len(list_filter(range(1, 65), lambda i: substr(sha256(text), i, 1) = substr(sha256(lang), i, 1))) / 64, 6) AS similarity FROM documents WHERE text IS NOT NULL""")
@@ -854,16 +855,17 @@ def topic_routing(spark, sf_dir):
 
 @query("""SELECT event_type, count(DISTINCT props) AS distinct_keys FROM events GROUP BY 1""")
 def stream_dedup_keys(spark, sf_dir):
-    """A bounded stream over the events' file: duplicates dropped by key, counts kept in a table in memory."""
+    """A bounded stream over the events' file: duplicates dropped by key, one count for each type kept in a table in memory."""
     import uuid
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a file source reads folders: the file is named by a filter on its folder
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     name = f"dedup_{uuid.uuid4().hex}"
-    counted = stream.dropDuplicates(["event_type", "props"]).groupBy("event_type").agg(F.count("*").alias("distinct_keys"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-checkpoints"
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{shared}/{name}").start().awaitTermination()
+    # keys are forgotten once the watermark is past them, which the whole of this bounded stream stays within
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "3650 days")
+    counted = timed.dropDuplicatesWithinWatermark(["event_type", "props"]).groupBy("event_type").agg(F.count("*").alias("distinct_keys"))
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_path(spark, name)).start().awaitTermination()
     return spark.table(name)
 
 
@@ -907,20 +909,26 @@ def swarm_workers(spark, sf_dir):
     return swarm.workers(spark, "bench", 8)
 
 
-@query("""SELECT CAST(event_id % 50 AS INT) AS part, coalesce(string_agg(CASE WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id), '') AS "values" FROM events WHERE event_type IN ('click', 'error') GROUP BY 1""")
+@query("""SELECT CAST(event_id % 50 AS INT) AS part, event_id, CAST(event_id AS VARCHAR) AS data FROM events WHERE event_type <> 'error'""")
 def swarm_collect(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type in ('click', 'error')").select((F.col("event_id") % 50).cast("int").alias("part"), "event_id", F.col("event_id").cast("string").alias("data"), "event_type")
-    out = swarm.collect_results(e, "part", "event_id", "data", F.col("event_type") != "error")
-    return out.select("part", F.array_join("values", ",").alias("values"))
-
-
-@query(None)
-def swarm_collect_all(spark, sf_dir):
     """The successful values of all events, a row each, in order within their part."""
     e = table(spark, sf_dir, "events").select((F.col("event_id") % 50).cast("int").alias("part"), "event_id", F.col("event_id").cast("string").alias("data"), "event_type")
     return swarm.collected_rows(e, "part", "event_id", "data", F.col("event_type") != "error")
 
 
+@query("""SELECT CAST(event_id % 50 AS INT) AS part, count(*) AS items, CAST(sum(CAST(event_type <> 'error' AS INT)) AS BIGINT) AS done, min(event_id) AS first_item, max(event_id) AS last_item, min(CAST(event_type <> 'error' AS INT)) = 1 AS finished FROM events GROUP BY 1""")
+def swarm_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("part", (F.col("event_id") % 50).cast("int"))
+    return swarm.status(e, "part", "event_id", F.col("event_type") != "error")
+
+
+@query("""SELECT event_id, round(value * CASE event_type WHEN 'view' THEN 2.0 WHEN 'click' THEN 3.0 ELSE 1.0 END, 6) AS weighted FROM events""")
+def swarm_shared_state(spark, sf_dir):
+    """Items weighted by a mapping that all workers of the call see."""
+    weigh = lambda rows, shared: rows[["event_id"]].assign(weighted=(rows["value"] * rows["event_type"].map(lambda t: shared.get(t, 1.0))).round(6))
+    return swarm.shared_map(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), weigh, {"view": 2.0, "click": 3.0}, "event_id long, weighted double")
+
+
 @query(f"""WITH e(src, dst) AS (VALUES {EDGES_SQL}) SELECT DISTINCT src AS node, dst AS neighbour FROM e""")
 def capability_neighbours(spark, sf_dir):
     edges = spark.createDataFrame(EDGES, "src string, dst string")
@@ -965,7 +973,7 @@ def engine_metrics(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN TRUE ELSE FALSE END AS tagged FROM part""")
 def capability_by_tag(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(F.split("p_name", " "), F.array(F.lit("red"), F.lit("blue"))).alias("tagged"))
+    return table(spark, sf_dir, "part").select("p_partkey", features.has_tag(F.split("p_name", " "), ["red", "blue"]).alias("tagged"))
 
 
 @query("""SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS version FROM orders GROUP BY 1""")
@@ -980,30 +988,63 @@ def kv_prefix_scan(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter(F.col("c_name").startswith("Customer#00000001")).select("c_custkey")
 
 
-@query("""SELECT i, CASE WHEN regexp_matches(text, '(?i)^(get|fetch|retrieve|list)\\s+\\w+') THEN 'fetch' WHEN regexp_matches(text, '(?i)^(create|add|insert)\\s+\\w+') THEN 'create' WHEN regexp_matches(text, '(?i)^(update|modify|edit)\\s+\\w+') THEN 'update' WHEN regexp_matches(text, '(?i)^(delete|remove)\\s+\\w+') THEN 'delete' WHEN regexp_matches(text, '(?i)^(analyze|analyse)\\s+\\w+') THEN 'analyze' WHEN regexp_matches(text, '(?i)^(search|find)\\s+\\w+') THEN 'search' WHEN regexp_matches(text, '(?i)^(recommend|suggest)\\s+\\w+') THEN 'recommend' ELSE 'unknown' END AS kind FROM """ + _PHRASES_SQL)
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^(get|fetch|retrieve|list)\\s+\\w+') THEN 'fetch' WHEN regexp_matches(text, '(?i)^(create|add|insert)\\s+\\w+') THEN 'create' WHEN regexp_matches(text, '(?i)^(update|modify|edit)\\s+\\w+') THEN 'update' WHEN regexp_matches(text, '(?i)^(delete|remove)\\s+\\w+') THEN 'delete' WHEN regexp_matches(text, '(?i)^(analyze|analyse)\\s+\\w+') THEN 'analyze' WHEN regexp_matches(text, '(?i)^(search|find)\\s+\\w+') THEN 'search' WHEN regexp_matches(text, '(?i)^(recommend|suggest)\\s+\\w+') THEN 'recommend' ELSE 'unknown' END AS kind FROM conversations""")
 def plan_simple_patterns(spark, sf_dir):
-    return phrases(spark).select("i", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))
-
-
-# ---- requests of all conversations
-
-
-def turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))
 
 
-@query(None)
-def intent_parse_regex_all(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text")).alias("p")).select("conv_id", "turn", "p.kind", "p.entity", "p.confidence")
+# ---- persisted requests and results
 
 
-@query(None)
-def plan_default_paths_all(spark, sf_dir):
-    kind = planning.parse_intent(F.col("text"))["kind"]
-    known = ["auth.validate", "data.fetch", "validate.input", "format.apply"]
-    return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(planning.plan_path(kind, planning.DEFAULT_PATHS, known), ",").alias("path"))
-
-
-@query(None)
-def plan_simple_patterns_all(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", planning.parse_intent(F.col("text"), planning.SIMPLE_PATTERNS)["kind"].alias("kind"))
+@query("""SELECT event_id AS id, 'hib_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 12) AS hib_id, event_type AS intent, props AS input, event_id % 3 <> 0 AS woken, CASE WHEN event_id % 3 <> 0 THEN props END AS state FROM events""")
+def persist_hibernate_wake(spark, sf_dir):
+    """All requests written, listed, and two of three woken again."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("intent"), F.col("props").alias("input"), F.col("props").alias("state"), F.lit("idle").alias("lifecycle"), F.lit(None).cast("long").alias("parent_id"))
+    path = shared_path(spark, "hibernated")
+    ids = requests.hibernate(rows, path)
+    woken = requests.wake(spark, path, ids.filter("id % 3 <> 0")).select("hib_id", "state", F.lit(True).alias("woken"))
+    every = requests.list_hibernated(spark, path).join(ids, "hib_id").join(rows.select("id", "intent", "input"), "id")
+    return every.join(woken, "hib_id", "left").select("id", "hib_id", "intent", "input", F.coalesce("woken", F.lit(False)).alias("woken"), "state")
+
+
+@query(f"""WITH {CALLS}, l AS (SELECT lookup_key AS key, max_by(value, (ts, event_id)) AS v, max(ts) AS t FROM calls WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1)
+SELECT key, v AS output, (epoch_us(t + INTERVAL 7 DAY) - epoch_us(TIMESTAMP '2024-01-20 00:00:00')) // 1000000 AS ttl_left_s FROM l WHERE t + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'""")
+def memo_persist_hydrate(spark, sf_dir):
+    """Results written to the second level, and what it remembers at a later time."""
+    path = shared_path(spark, "memo")
+    c = calls(spark, sf_dir).groupBy("lookup_key", "ts").agg(F.max_by("value", "event_id").alias("value"))  # of equal times the last
+    memo.persist(c, path, "lookup_key", "value", F.col("ts"), F.lit(7 * 86400))
+    out = memo.hydrate(spark, path, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    return out.select("key", F.col("output").cast("double").alias("output"), "ttl_left_s")
+
+
+@query(ORACLE_SQL["similar_topk_state_keys"].split("SELECT id, CAST(rank")[0] + """ , b AS (SELECT id, min_by(similar_id, rank) AS owner FROM r WHERE rank <= 5 AND round(score, 6) >= 0.7 GROUP BY 1) SELECT b.id, owner, 'n' || (n_chars % 3) || ',s' || (doc_id % 5) AS keys, source AS path FROM b JOIN documents ON doc_id = owner""")
+def inherit_state_keys(spark, sf_dir):
+    """What state keys, and by which path, a request takes from the most similar one."""
+    d = table(spark, sf_dir, "documents")
+    one = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    state = F.create_map(one("s", F.col("doc_id") % 5), F.lit("x"), one("n", F.col("n_chars") % 3), F.lit("y"))
+    states = d.select(F.col("doc_id").alias("owner"), state.alias("state"), F.col("source").alias("path"))
+    out = lineage.inherited_keys(similar_topk_state_keys(spark, sf_dir), states, "owner", "state", "path")
+    return out.select("id", "owner", F.array_join("keys", ",").alias("keys"), "path")
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'result count differs' WHEN 1 THEN 'chunk ids differ' WHEN 2 THEN 'vector must be finite' WHEN 3 THEN 'vector must not be empty' WHEN 4 THEN 'dimensions differ' END AS error FROM documents""")
+def doc_result_check(spark, sf_dir):
+    """A vectorizer's answers to two chunks a document, most of them wrong in one way."""
+    n = F.col("doc_id") % 6
+    ids = F.array(F.lit("c0"), F.lit("c1"))
+    answered = F.when(n == 0, F.array(F.lit("c0"))).when(n == 1, F.array(F.lit("c1"), F.lit("c0"))).otherwise(ids)
+    good = F.array(F.lit(0.5), F.lit(1.5))
+    second = F.when(n == 2, F.array(F.lit(0.5), F.lit(float("nan")))).when(n == 3, F.array().cast("array<double>")).when(n == 4, F.array(F.lit(1.0))).otherwise(good)
+    vectors = F.when(n == 0, F.array(good)).otherwise(F.array(good, second))
+    return table(spark, sf_dir, "documents").select("doc_id", documents.result_errors(ids, answered, vectors).alias("error"))
+
+
+@query(f"WITH o AS (SELECT 'op' || event_id AS operation_id, {_STATUS_SQL} AS status, event_id FROM events) SELECT operation_id, CASE WHEN status IN ('processing', 'retryable_failure') THEN NULL WHEN event_id % 2 = 0 THEN 'PUBLISHED' ELSE 'PENDING' END AS outbox FROM o")
+def outbox_drain(spark, sf_dir):
+    """Half of the operations were sent; of these the pending ones are published."""
+    done = documents.finish(_operations(spark, sf_dir), _outcomes(spark, sf_dir)).drop("stale")
+    sent = table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("op"), F.col("event_id").cast("string")).alias("operation_id"))
+    return documents.mark_published(done, sent).select("operation_id", "outbox")

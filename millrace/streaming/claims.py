@@ -9,29 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "key string, message_id string, role string, attempt int"
-STATE = "fingerprint string, attempt int, done boolean"
-
-
-def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fingerprint, attempt, done = state.get if state.exists else (None, 0, False)
-    if state.hasTimedOut:  # the lease ran out: the next message may claim again
-        state.update((fingerprint, attempt, done))
-        return
-    live = state.exists and attempt > 0
-    out = []
-    for batch in batches:
-        for row in batch.sort_values("message_id").itertuples(index=False):
-            if fingerprint is not None and row.fingerprint != fingerprint:
+STATE = "fingerprint string, attempt int, lease_until long, forget_at long"
+
+
+def claim_stream(messages: DataFrame, lease_s: int = 300, keep_s: int = 86_400, delay: str = "1 minute", ts: str = "ts") -> DataFrame:
+    """key, message_id, role and attempt of each message (key, message_id, fingerprint and an event time).
+
+    An owner's lease runs lease_s from its message; the next message after that, with the same fingerprint, owns the key
+    anew, with one more attempt. A key is forgotten keep_s after its last claim, once the watermark is past that, so
+    state is bounded. Both go by event time.
+    """
+
+    def claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fingerprint, attempt, lease_until, forget_at = state.get if state.exists else (None, 0, 0, 0)
+        out = []
+        rows = pd.concat(list(batches)).sort_values([ts, "message_id"])
+        for message_id, given, at in zip(rows["message_id"], rows["fingerprint"], rows[ts], strict=True):
+            now = int(at.timestamp() * 1000)
+            if fingerprint is not None and given != fingerprint:
                 role = "conflict"
-            elif done or live:
+            elif attempt and now < lease_until:
                 role = "duplicate"
             else:
-                role, fingerprint, attempt, live = "owner", row.fingerprint, attempt + 1, True
-            out.append((key[0], row.message_id, role, attempt))
-    state.update((fingerprint, attempt, done))
-    yield pd.DataFrame(out, columns=["key", "message_id", "role", "attempt"])
-
-
-def claim_stream(messages: DataFrame) -> DataFrame:
-    """key, message_id and role of each message (key, message_id, fingerprint); one small state for each key."""
-    return messages.groupBy("key").applyInPandasWithState(_claim, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+                role, fingerprint, attempt = "owner", given, attempt + 1
+                lease_until, forget_at = now + 1000 * lease_s, now + 1000 * max(lease_s, keep_s)
+            out.append((key[0], message_id, role, attempt))
+        state.update((fingerprint, attempt, lease_until, forget_at))
+        state.setTimeoutTimestamp(max(forget_at, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "message_id", "role", "attempt"])
+
+    timed = messages.withWatermark(ts, delay)
+    return timed.groupBy("key").applyInPandasWithState(claim, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

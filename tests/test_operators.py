@@ -57,12 +57,11 @@ def test_md5_mod(spark):
 
 def test_long_chain_has_all_ancestors(spark):
     chain = spark.range(300).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
-    cut = lambda d: d.localCheckpoint()
-    got = lineage.ancestors(chain, "id", "p", checkpoint=cut)
+    got = lineage.ancestors(chain, "id", "p")
     assert sorted((r.node, r.ancestor, r.distance) for r in got.collect()) == [(i, j, i - j) for i in range(300) for j in range(i + 1)]
-    below = lineage.descendants(chain, "id", "p", checkpoint=cut)
+    below = lineage.descendants(chain, "id", "p")
     assert sorted((r.node, r.descendants, r.height) for r in below.collect()) == [(i, 299 - i, 299 - i) for i in range(299)]
-    assert lineage.ancestors(chain, "id", "p", max_depth=2, checkpoint=cut).count() == 300 + 299 + 298
+    assert lineage.ancestors(chain, "id", "p", max_depth=2).count() == 300 + 299 + 298
 
 
 def test_cycle_of_ancestors_is_an_error(spark):
@@ -91,7 +90,7 @@ def test_similar_word_sets_of_whole_texts(spark, tmp_path, monkeypatch):
     sets = {hashlib.sha256(" ".join(sorted(w)).encode()).hexdigest(): w for t in texts if t for w in [set(t.split())] if w}
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a, b in itertools.combinations(sorted(sets), 2)}
     want = {k: v for k, v in want.items() if v > 0.7}
-    got = {(r.key_a, r.key_b): r.similarity for r in queries.intent_jaccard_whole(spark, str(tmp_path)).collect()}
+    got = {(r.key_a, r.key_b): r.similarity for r in queries.intent_jaccard(spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 20
 
 
@@ -104,12 +103,64 @@ def test_queries_over_all_rows_equal_brute_force(spark, small):
     genes = defaultdict(list)
     for e in events:
         genes[e.user_id].append(e.event_type)
-    got = {r.user_id: r.fitness for r in queries.gene_fitness_all(spark, small).collect()}
+    got = {r.user_id: r.fitness for r in queries.gene_fitness(spark, small).collect()}
     assert got == {u: pytest.approx(0.5 * ("error" not in g) + 0.5 * len(set(g)) / len(g), abs=2e-6) for u, g in genes.items()}
-    hops = {(r.steps, r.terminated, r.hops): r.n for r in queries.route_hop_bound_all(spark, small).collect()}
+    hops = {(r.steps, r.terminated, r.hops): r.n for r in queries.route_hop_bound(spark, small).collect()}
     assert hops == Counter((e.event_id % 20, e.event_id % 20 > 8, min(e.event_id % 20, 8)) for e in events)
-    rows = [(r.part, r.event_id, r.data) for r in queries.swarm_collect_all(spark, small).collect()]
+    rows = [(r.part, r.event_id, r.data) for r in queries.swarm_collect(spark, small).collect()]
     assert rows == sorted((e.event_id % 50, e.event_id, str(e.event_id)) for e in events if e.event_type != "error")
     turns = spark.read.parquet(f"{small}/conversations.parquet").count()
-    for q in (queries.intent_parse_regex_all, queries.plan_default_paths_all, queries.plan_simple_patterns_all):
+    for q in (queries.intent_parse_regex, queries.plan_default_paths, queries.plan_simple_patterns):
         assert q(spark, small).count() == turns
+
+
+def test_deep_and_wide_lineage(spark):
+    chain = spark.range(1000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    got = {r.node: (r.root, r.depth) for r in lineage.roots(chain, "id", "p").collect()}
+    assert got == {i: (0, i) for i in range(1000)}
+    many = spark.range(300_000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") - 1).alias("p"))
+    assert lineage.ancestors(many, "id", "p").count() == 30_000 * 55
+    line = spark.range(150).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst")).filter("src < 40 or src > 140")
+    far = lineage.reachable(line.limit(40), spark.createDataFrame([("0",)], "start string"))
+    assert far.agg(F.max("distance")).first()[0] >= 1
+
+
+def test_percentiles_of_odd_values(spark):
+    import math
+    import random
+
+    rnd = random.Random(3)
+    values = [("a", rnd.choice([-1, 1]) * rnd.random() * 10 ** rnd.randrange(-8, 8)) for _ in range(999)] + [("b", 0.0)] * 5 + [("c", v) for v in (float("inf"), -float("inf"), 1e-300, 1.0)] + [("d", None), ("e", 7.0)]
+    got = {r.k: (r.p50, r.p95, r["count"]) for r in stats.latency_percentiles(spark.createDataFrame(values, "k string, v double"), "k", "v", (0.5, 0.95)).collect()}
+    for k in "abce":
+        own = sorted(v for g, v in values if g == k)
+        at = lambda p: own[round(p * (len(own) - 1))]
+        assert got[k] == (at(0.5), at(0.95), len(own)), k
+    assert "d" not in got and not math.isnan(got["a"][0])
+
+
+def test_folds_equal_brute_force(spark, small):
+    """Circuit breaker and token bucket over all events, by plain loops."""
+    from millrace import queries
+
+    events = sorted(((r.user_id, r.ts, r.event_id, r.event_type) for r in spark.read.parquet(f"{small}/events.parquet").collect()))
+    verdict, granted, state, bucket = {}, {}, {}, {}
+    for user, ts, event, kind in events:
+        now = ts.timestamp()
+        s = state.setdefault(user, {"n": 0, "open": None})
+        if s["open"] is not None and now - s["open"] < 86400:
+            verdict[event] = "rejected"
+        else:
+            if s["open"] is not None:
+                s["open"], s["n"] = None, 1
+            verdict[event] = "allowed"
+            s["n"] = s["n"] + 1 if kind == "error" else max(0, s["n"] - 1)
+            if s["n"] >= 2:
+                s["open"] = now
+        tokens, at = bucket.get(user, (2.0, now))
+        tokens = min(2.0, tokens + (now - at) / 43200)
+        granted[event] = tokens >= 1
+        bucket[user] = (tokens - 1 if granted[event] else tokens, now)
+    got = {r.event_id: r.verdict for r in queries.circuit_breaker(spark, small).collect()}
+    assert got == verdict
+    assert {r.event_id: r.granted for r in queries.token_bucket(spark, small).collect()} == granted

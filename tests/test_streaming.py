@@ -21,14 +21,37 @@ def test_settle(spark):
     assert got == {"a": ("ack", 1), "b": ("retry", 2), "c": ("dead_letter", 3)}
 
 
-def test_claims_on_a_stream(spark, tmp_path):
+CLAIM = "key string, message_id string, fingerprint string, ts timestamp"
+
+
+def run_claims(spark, tmp_path, batches, **more):
+    """Roles of messages that come in one file after another."""
+    import datetime as dt
+
     src = tmp_path / "m"
-    rows = [("k", "1", "f"), ("k", "2", "f"), ("k", "3", "g"), ("j", "4", "f")]
-    spark.createDataFrame(rows, "key string, message_id string, fingerprint string").coalesce(1).write.parquet(str(src))
-    stream = spark.readStream.schema("key string, message_id string, fingerprint string").parquet(str(src))
-    q = claims.claim_stream(stream).writeStream.format("memory").queryName("claims").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    assert {(r.message_id, r.role) for r in spark.table("claims").collect()} == {("1", "owner"), ("2", "duplicate"), ("3", "conflict"), ("4", "owner")}
+    src.mkdir()
+    name = f"claims_{tmp_path.name.replace('-', '_')}"
+    q = None
+    for batch in batches:
+        rows = [(k, m, f, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for k, m, f, s in batch]
+        spark.createDataFrame(rows, CLAIM).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(CLAIM).parquet(str(src))
+        out = claims.claim_stream(stream, **more).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        q = out.outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return {(r.message_id, r.role, r.attempt) for r in spark.read.parquet(str(tmp_path / "out")).collect()}, q
+
+
+def test_claims_on_a_stream(spark, tmp_path):
+    got, _ = run_claims(spark, tmp_path, [[("k", "1", "f", 0), ("k", "2", "f", 1), ("k", "3", "g", 2), ("j", "4", "f", 3)]])
+    assert got == {("1", "owner", 1), ("2", "duplicate", 1), ("3", "conflict", 1), ("4", "owner", 1)}
+
+
+def test_claims_expire_and_are_forgotten(spark, tmp_path):
+    batches = [[("k", "1", "f", 0)], [("k", "2", "f", 200), ("k", "3", "f", 301)], [("x", "9", "f", 10_000)], [("x", "10", "f", 10_001)], [("k", "4", "g", 10_002)]]
+    got, q = run_claims(spark, tmp_path, batches, lease_s=300, keep_s=1000, delay="1 second")
+    assert {("1", "owner", 1), ("2", "duplicate", 1), ("3", "owner", 2)} <= got
+    assert ("4", "owner", 1) in got  # the key is forgotten: another fingerprint is no conflict
 
 
 def test_watermarked_functions_build(spark, tmp_path):
