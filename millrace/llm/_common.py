@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir and all runs in one process.
-LOCAL_CHECKPOINT_DIR = "/tmp/millrace-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local folder serves a local master, whose driver and executors are one process; on a cluster that is an
-    error, as executors would write to disks of their own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return LOCAL_CHECKPOINT_DIR
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df: write it as a table in the shared folder and read that. The table goes when the driver ends.
-
-    Unlike after DataFrame.checkpoint(), the planner knows the table's size. (A checkpoint carries the estimate of the plan before
-    it; over rounds of joins these products grow until planning takes minutes.)
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, "table")
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from millrace.session import cut, shared_path
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder for a table that an operator writes and rereads."""
-    return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+#: A table in the shared folder, written and read again, that cuts the lineage.
+checkpoint = cut
+#: A new path in the shared folder for a table that an operator writes and rereads.
+fresh_path = shared_path
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
