@@ -25,8 +25,8 @@ from millrace.llm._common import fold, held_out, unit_hash
 from millrace.llm._text import Words, groups
 
 BUCKETS = 1 << 17
-SAMPLE_BYTES = 32 << 20  # of texts of a class that are fitted on, at most
-LONGEST = 1 << 20  # bytes of a text that may be fitted on; longer ones still count for thresholds
+SAMPLE_BYTES = 8 << 20  # of texts of a class that are fitted on, at most
+LONGEST = 64 << 10  # bytes of a text that may be fitted on; longer ones still count for thresholds
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8)
 #: Calibration counts logits in bins of 1 / FINE, up to FAR from 0.
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int
     if rows["toxic"].nunique() < 2:
         return None
     rows = rows.sort_values(["doc_id", "ids"], kind="stable").reset_index(drop=True)
-    ids = [np.frombuffer(zlib.decompress(x), "<i4").reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
+    ids = [np.frombuffer(zlib.decompress(x), "<i4").reshape(-1, 1 + len(PREFIXES)) for x in rows.pop("ids")]
     y = rows["toxic"].to_numpy(np.float32)
     check = np.random.default_rng(3).random(len(rows)) < 0.2
     model = TextCNN()
@@ -300,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, epochs: int
     learn = np.flatnonzero(~check)
     if len(np.unique(y[learn])) == 2:
         fit(model, [ids[i] for i in learn], y[learn], epochs)
+    del ids
     model.threshold = _calibrate(_counts(docs, toxic, model, rows.iloc[learn]), len(langs))
     return model
 
