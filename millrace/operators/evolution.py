@@ -60,8 +60,9 @@ def gene_fitness_by(rows: DataFrame, owner: str, gene: str, valid: list[str]) ->
 
 
 def _unit(salt: str, *cols: Column) -> Column:
-    """A number in [0, 1) that follows from the row: variation is repeatable and survives retries."""
-    return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) from the MD5 of salt and row: variation is repeatable, survives retries and is the same in SQL."""
+    digest = F.md5(F.concat_ws("|", F.lit(salt), *[c.cast("string") for c in cols]).cast("binary"))
+    return F.conv(F.substring(digest, 25, 8), 16, 10).cast("long") / float(1 << 32)
 
 
 def mutate(genes: Column, pool: Column, seed: Column, rate: float = MUTATION_RATE) -> Column:

@@ -24,9 +24,10 @@ def _fold(calls: DataFrame, key: str, order: list[str], start: Callable[[], dict
         current, state = object(), start()
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if getattr(row, key) != current:
-                    current, state = getattr(row, key), start()
+            own = batch[key].astype(object).where(batch[key].notna(), None)  # null is one key, NaN would differ from itself
+            for name, row in zip(own, batch.itertuples(index=False), strict=True):
+                if name != current:
+                    current, state = name, start()
                 out.append(step(state, row))
             yield batch.assign(**{column: out})
 

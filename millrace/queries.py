@@ -569,27 +569,44 @@ def dna_statistics(spark, sf_dir):
     return out.select("genomes", "executions", F.round("mean_success_rate", 5).alias("mean_success_rate"), F.round("mean_latency", 5).alias("mean_latency"), "best_fitness")
 
 
-def _genes(spark):
-    pool = F.array(*[F.lit(c) for c in "abcdef"])
-    return spark.range(200).select("id", F.array(*[F.element_at(pool, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6)) + 1).cast("int")) for k in range(6)]).alias("genes"), pool.alias("pool"))
+GENOMES = f"""genomes AS (SELECT event_id, list_filter([event_type, lead(event_type, 1) OVER w, lead(event_type, 2) OVER w, lead(event_type, 3) OVER w], lambda x: x IS NOT NULL) AS genes, {VALID_GENES} AS pool FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
 
 
-@query(None)
+def _draw(salt: str, *of: str) -> str:
+    """SQL of the number in [0, 1) that variation draws."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{salt}', {', '.join(of)})), 25))::BIGINT / 4294967296e0)"
+
+
+def _genomes(spark, sf_dir):
+    """The path of up to four capabilities that each event begins."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = [F.col("event_type"), *[F.lead("event_type", k).over(w) for k in (1, 2, 3)]]
+    return table(spark, sf_dir, "events").select("event_id", F.filter(F.array(*steps), lambda g: g.isNotNull()).alias("genes"), F.array(*[F.lit(g) for g in VALID_GENES]).alias("pool"))
+
+
+@query(f"""WITH {GENOMES}, p AS (SELECT *, floor({_draw('at', 'event_id')} * (len(genes) + 1))::INT AS a, pool[floor({_draw('what', 'event_id')} * len(pool))::INT + 1] AS x, floor({_draw('del', 'event_id')} * len(genes))::INT AS d FROM genomes)
+SELECT event_id, array_to_string(genes, ',') AS genome, array_to_string(list_transform(range(0, len(genes)), lambda i: CASE WHEN {_draw('mutate', 'event_id', 'i')} < 0.1e0 THEN pool[floor({_draw('gene', 'event_id', 'i')} * len(pool))::INT + 1] ELSE genes[i + 1] END), ',') AS replaced,
+array_to_string(genes[1:a] || [x] || genes[a + 1:], ',') AS inserted, array_to_string(CASE WHEN len(genes) <= 1 THEN genes ELSE genes[1:d] || genes[d + 2:] END, ',') AS deleted FROM p""")
 def genome_mutate(spark, sf_dir):
-    """Replacement, insertion and deletion of genes; drawn from a hash of the row."""
-    g, p, s = F.col("genes"), F.col("pool"), F.col("id")
-    return _genes(spark).select("id", "genes", evolution.mutate(g, p, s).alias("replaced"), evolution.insert_gene(g, p, s).alias("inserted"), evolution.delete_gene(g, s).alias("deleted"))
+    """Replacement, insertion and deletion of genes in every genome, drawn from a hash of its id."""
+    g, p, s = F.col("genes"), F.col("pool"), F.col("event_id")
+    varied = {"genome": g, "replaced": evolution.mutate(g, p, s), "inserted": evolution.insert_gene(g, p, s), "deleted": evolution.delete_gene(g, s)}
+    return _genomes(spark, sf_dir).select("event_id", *[F.array_join(v, ",").alias(name) for name, v in varied.items()])
 
 
-@query(None)
+@query(f"""WITH {GENOMES}, b AS (SELECT a.event_id, a.genes, o.genes AS other, least(len(a.genes), len(o.genes)) AS n FROM genomes a JOIN genomes o ON o.event_id = a.event_id + 1), c AS (SELECT *, floor({_draw('cut', 'event_id')} * n)::INT AS cut FROM b)
+SELECT event_id, array_to_string(CASE WHEN {_draw('cross', 'event_id')} < 0.7e0 AND n > 1 THEN genes[1:cut] || other[cut + 1:] ELSE genes END, ',') AS child,
+array_to_string(list_filter(list_transform(range(0, greatest(len(genes), len(other))), lambda i: CASE WHEN {_draw('side', 'event_id', 'i')} < 0.5e0 THEN genes[i + 1] ELSE other[i + 1] END), lambda x: x IS NOT NULL), ',') AS uniform FROM c""")
 def genome_crossover(spark, sf_dir):
-    a = _genes(spark)
-    b = a.select((F.col("id") - 1).alias("id"), F.col("genes").alias("other"))
-    both = a.join(b, "id")
-    return both.select("id", evolution.crossover(F.col("genes"), F.col("other"), F.col("id")).alias("child"), evolution.uniform_crossover(F.col("genes"), F.col("other"), F.col("id")).alias("uniform"))
+    """Children of every genome and that of the next id."""
+    a = _genomes(spark, sf_dir).select("event_id", "genes")
+    both = a.join(a.select((F.col("event_id") - 1).alias("event_id"), F.col("genes").alias("other")), "event_id")
+    g, o, s = F.col("genes"), F.col("other"), F.col("event_id")
+    return both.select("event_id", F.array_join(evolution.crossover(g, o, s), ",").alias("child"), F.array_join(evolution.uniform_crossover(g, o, s), ",").alias("uniform"))
 
 
-@query(None)
+@query(f"""WITH i AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id, value FROM events), d AS (SELECT r AS round, floor({_draw('draw', 'r', 'k')} * (SELECT count(*) FROM events))::BIGINT AS place FROM range(20) a(r), range(1, 4) b(k))
+SELECT d.round, first(event_id ORDER BY value DESC, event_id) AS winner FROM d JOIN i USING (place) GROUP BY 1""")
 def tournament(spark, sf_dir):
     return evolution.tournament(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", 20)
 
@@ -700,15 +717,22 @@ def log_redact(spark, sf_dir):
 # ---- resilience
 
 
-@query(None)
+_IN_TURN = "e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), u AS (SELECT DISTINCT user_id FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_IN_TURN}, f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS verdict, 0 AS n, NULL::DOUBLE AS since FROM u UNION ALL
+SELECT user_id, k, event_id, CASE WHEN held THEN 'rejected' ELSE 'allowed' END, CASE WHEN held THEN n WHEN ok THEN greatest(0, m - 1) ELSE m + 1 END, CASE WHEN held THEN since WHEN NOT ok AND m >= 1 THEN t END
+FROM (SELECT e.*, f.n, f.since, coalesce(e.t - f.since < 86400, FALSE) AS held, CASE WHEN f.since IS NULL THEN f.n ELSE 1 END AS m FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)) SELECT event_id, verdict FROM f WHERE k > 0""")
 def circuit_breaker(spark, sf_dir):
-    """Verdicts for each user's calls; a fold that SQL has no words for."""
+    """Verdicts for each user's calls, a fold; in SQL a recursion over each user's first, second and further calls."""
     c = calls(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "success").withColumn("at", F.col("us") / 1e6)
     out = resilience.circuit_breaker(c, "user_id", ["us", "event_id"], "at", "success", failures=2, open_s=86400.0)
     return out.select("event_id", "verdict")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_IN_TURN}, f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, FALSE AS granted, 2e0 AS tokens, NULL::DOUBLE AS t FROM u UNION ALL
+SELECT user_id, k, event_id, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END, t
+FROM (SELECT e.*, CASE WHEN f.t IS NULL THEN 2e0 ELSE least(2e0, f.tokens + (e.t - f.t) * (1e0 / 43200)) END AS have FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)) SELECT event_id, granted FROM f WHERE k > 0""")
 def token_bucket(spark, sf_dir):
     c = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("at", F.col("us") / 1e6)
     return resilience.token_bucket(c, "user_id", ["us", "event_id"], "at", rate=1 / 43200, burst=2.0).select("event_id", "granted")

@@ -164,3 +164,14 @@ def test_folds_equal_brute_force(spark, small):
     got = {r.event_id: r.verdict for r in queries.circuit_breaker(spark, small).collect()}
     assert got == verdict
     assert {r.event_id: r.granted for r in queries.token_bucket(spark, small).collect()} == granted
+
+
+def test_calls_without_a_key_share_one_state(spark):
+    df = spark.createDataFrame([(k, float(t)) for k in (None, 1) for t in range(4)], "k long, t double")
+    got = resilience.token_bucket(df, "k", ["t"], "t", rate=0.01, burst=2).orderBy("t").collect()
+    assert [r.granted for r in got] == [True] * 4 + [False] * 4
+
+
+def test_draws_are_even(spark):
+    drawn = spark.range(4000).select(F.floor(evolution._unit("at", F.col("id")) * 4).alias("d")).groupBy("d").count().collect()
+    assert sorted(r.d for r in drawn) == [0, 1, 2, 3] and all(880 < r["count"] < 1120 for r in drawn)
