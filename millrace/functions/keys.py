@@ -27,11 +27,6 @@ def md5_mod(text: Column, n: int) -> Column:
     return F.aggregate(digits, F.lit(0), lambda acc, d: ((acc * 16 + F.conv(d, 16, 10).cast("int")) % n).cast("int"))
 
 
-def words(text: Column) -> Column:
-    """The distinct lower-cased words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))

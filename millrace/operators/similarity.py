@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.keys import jaccard
+from millrace.session import cut
 
 SAME_INTENT, STATE_KEYS = 0.5, 0.3
 TOP = 5
 INTENT_SIMILAR = 0.7
 BLOCK = 512
+#: Slots of words' hashes that are counted, and how many of them are a row on the way.
+SLOTS, SLICE = 1 << 22, 1 << 16
 
 
 def similar_by_state(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -62,29 +73,176 @@ def similar_weighted(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataF
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("rank") <= k).select("id", "rank", "similar_id", "score")
 
 
-def similar_word_sets(sets: DataFrame, threshold: float = INTENT_SIMILAR) -> DataFrame:
-    """Pairs of different word sets (key, words) whose Jaccard similarity is above the threshold.
+def similar_word_sets(texts: DataFrame, column: str = "text", threshold: float = INTENT_SIMILAR) -> DataFrame:
+    """Pairs (key_a, key_b, similarity) of different word sets of texts whose Jaccard similarity is above the threshold.
+
+    A set's key is the SHA-256 of its lower-cased words, sorted and joined by spaces; equal sets are one. Words are ordered by how rare they are,
+    by counts in SLOTS slots of their hashes; similar sets must share one of their first size - ceil(threshold * size) + 1
+    words, so only these are met on. Sizes must be near, and by the places of the word that is shared first, what is left of both must suffice.
+    The pairs that are left are compared by the parities of their words' hashes, which bound the difference from below,
+    and only then by the words. Hashes that collide add candidates and lose none.
+    """
+    made = texts.select(F.lower(column).alias("text")).filter("text is not null").mapInArrow(_packed_sets, "key string, size int, words binary")
+    sets = cut(made.groupBy("key").agg(F.first("size").alias("size"), F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("id"), "key", "size", "words"))
+    slices = sets.select("words").mapInArrow(_slot_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slice, "slice int, counts binary")
+    counts = np.zeros(SLOTS, np.uint32)
+    for row in slices.collect():  # of fixed size together
+        counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    block = BLOCK
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _heads(batch, shared.value, threshold, block)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _meet(batches, threshold)
+
+    met = sets.select("id", "size", "words").mapInArrow(heads, "word long, p int, q int, block int, id long, size int, at int")
+    met = met.repartition("word", "p", "q").sortWithinPartitions("word", "p", "q").mapInArrow(meet, "a long, b long").distinct()
+    bits = sets.select("id", "size", "words").mapInArrow(_parities, "id long, size int, bits binary")
+    near = met.join(_renamed(bits, "a"), "a").join(_renamed(bits, "b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _close(batch, threshold)
+
+    near = near.mapInArrow(close, "a long, b long")
+    words = sets.select("id", "key", "words")
+    pairs = near.join(_renamed(words, "a"), "a").join(_renamed(words, "b"), "b").select("key_a", "key_b", "words_a", "words_b")
+    return pairs.mapInArrow(_compared, "key_a string, key_b string, similarity double").filter(F.col("similarity") > threshold)
+
+
+def _renamed(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "id"))
+
+
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key, size and compressed words of each text with a word; words are what ASCII white space parts."""
+    for batch in batches:
+        rows = []
+        for text in batch["text"].cast(pa.binary()).to_pylist():
+            own = sorted(set(text.split()))
+            if own:
+                joined = b" ".join(own)
+                rows.append((hashlib.sha256(joined).hexdigest(), len(own), zlib.compress(joined, 1)))
+        key, size, words = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(size, pa.int32()), pa.array(words, pa.binary())], names=["key", "size", "words"])
+
+
+def _hashes(words: bytes) -> np.ndarray:
+    return np.array([crc32(w) for w in zlib.decompress(words).split(b" ")], np.int64)
 
-    Words are ordered by how rare they are; similar sets must share one of their first
-    size - ceil(threshold * size) + 1 words, so only these are joined on, and sizes must be near. By the places
-    of the first word that they share, what is left of both must suffice. One word's sets are dealt into blocks
-    of about BLOCK, and pairs of blocks are the unit of work.
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of these have a word of each slot, a slice of slots a row."""
+    counts = np.zeros(SLOTS, np.uint32)
+    for batch in batches:
+        for words in batch["words"].to_pylist():
+            np.add.at(counts, _hashes(words) % SLOTS, 1)
+    for k in range(SLOTS // SLICE):
+        part = counts[k * SLICE : (k + 1) * SLICE]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+
+def _sum_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, k = np.zeros(SLICE, np.uint32), None
+    for batch in batches:
+        for k, counts in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):  # noqa: B007
+            total += np.frombuffer(zlib.decompress(counts), "<u4")
+    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+
+def _heads(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, block: int) -> pa.RecordBatch:
+    """The hashes of each set's rarest words with their first places. One word's sets are dealt into blocks of about `block`
+    by its slot's count, and go to every pair of blocks that theirs is in; pairs of blocks are the unit of work."""
+    ids, sizes = batch["id"].to_numpy(), batch["size"].to_numpy()
+    parts = []
+    for i, (size, words) in enumerate(zip(sizes, batch["words"].to_pylist(), strict=True)):
+        h = _hashes(words)
+        f = counts[h % SLOTS]
+        order = np.lexsort((h, f))[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
+        h, f = h[order], f[order]
+        at = np.flatnonzero((np.diff(h, prepend=-1) != 0) & (f > 1))  # a word of one set meets none
+        parts.append((h[at], f[at], np.full(len(at), i), at))
+    word, f, row, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    blocks = -(-f.astype(np.int64) // block)
+    own = ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+    copies = np.repeat(np.arange(len(word)), blocks)
+    other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    word, own, row, at = word[copies], own[copies], row[copies], at[copies]
+    columns = [(word, pa.int64()), (np.minimum(own, other), pa.int32()), (np.maximum(own, other), pa.int32()), (own, pa.int32()), (ids[row], pa.int64()), (sizes[row], pa.int32()), (at, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["word", "p", "q", "block", "id", "size", "at"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids of rows of one cell (word, p, q), which come together; of different blocks if p and q differ."""
+    names = ["word", "p", "q", "block", "id", "size", "at"]
+    rest = None  # rows of the last cell, which may go on in the next batch
+    for batch in chain(batches, [None]):
+        rows = rest
+        if batch is not None:
+            new = np.stack([batch[c].to_numpy().astype(np.int64) for c in names])
+            rows = new if rest is None else np.concatenate([rest, new], 1)
+        if rows is None or not rows.shape[1]:
+            continue
+        cell = np.cumsum(np.r_[0, (np.diff(rows[:3]) != 0).any(0)])
+        cut_at = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))
+        rest = rows[:, cut_at:]
+        _, p, q, own, ids, size, at = rows[:, :cut_at]
+        cell = cell[:cut_at]
+        found = [np.zeros((0, 2), np.int64)]
+        i = np.arange(len(cell))
+        step = 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(cell)]
+            i = i[cell[i] == cell[i + step]]
+            j = i + step
+            ok = (p[i] == q[i]) | (own[i] != own[j])
+            ok &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6
+            ok &= np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + threshold) >= threshold * (size[i] + size[j]) - 1e-6
+            x, y = ids[i[ok]], ids[j[ok]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        a, b = np.concatenate(found).T
+        for lo in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + (1 << 16)]), pa.array(b[lo : lo + (1 << 16)])], names=["a", "b"])
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set, a bit for each of some classes of hashes: whether it has an odd number of words of the class.
+
+    There are at least as many classes as words, a power of two, so that halves of bits can be folded onto each other.
     """
-    sets = sets.filter(F.size("words") > 0).dropDuplicates(["key"])
-    flat = sets.select("key", F.explode("words").alias("word"))
-    rare = flat.groupBy("word").agg(F.count("*").alias("f"))
-    ordered = flat.join(rare, "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "word"))).alias("o"))
-    n = F.size("o")
-    head = F.slice("o", F.lit(1), (n - F.ceil(threshold * n) + 1).cast("int"))
-    heads = ordered.select("key", n.alias("size"), F.posexplode(F.transform(head, lambda x: x["word"])).alias("at", "word"))
-    often = heads.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
-    heads = heads.join(often, "word").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # each set meets every block of its word once: as the left one of pairs (block, any), as the right one of (any, block)
-    left = heads.select("word", "key", "size", "at", F.col("block").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
-    right = heads.select("word", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), F.col("block").alias("q"))
-    near = (F.col("key") < F.col("key_b")) & (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b"))
-    reach = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
-    enough = reach * (1 + threshold) >= threshold * (F.col("size") + F.col("size_b")) - 1e-6
-    pairs = left.join(right, ["word", "p", "q"]).filter(near & enough).select(F.col("key").alias("key_a"), "key_b").distinct()
-    a, b = sets.select(F.col("key").alias("key_a"), F.col("words").alias("a")), sets.select(F.col("key").alias("key_b"), F.col("words").alias("b"))
-    return pairs.join(a, "key_a").join(b, "key_b").select("key_a", "key_b", jaccard(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") > threshold)
+    for batch in batches:
+        out = []
+        for size, words in zip(batch["size"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            n = max(64, 1 << (size - 1).bit_length())
+            out.append(np.packbits((np.bincount(_hashes(words) % n, minlength=n) & 1).astype(bool)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["size"], pa.array(out, pa.binary())], names=["id", "size", "bits"])
+
+
+def _close(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """The pairs whose parities differ in no more places than their words may."""
+    keep = np.zeros(batch.num_rows, bool)
+    most = (batch["size_a"].to_numpy().astype(float) + batch["size_b"].to_numpy()) * (1 - threshold) / (1 + threshold) + 1e-6
+    for k, (x, y) in enumerate(zip(batch["bits_a"].to_pylist(), batch["bits_b"].to_pylist(), strict=True)):
+        while len(x) != len(y):
+            x, y = (x, y) if len(x) > len(y) else (y, x)
+            half = len(x) // 2
+            x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+        keep[k] = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= most[k]
+    return batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys in order and the similarity of pairs of compressed sets."""
+    for batch in batches:
+        rows = []
+        for key, other, x, y in zip(*(batch[c].to_pylist() for c in ("key_a", "key_b", "words_a", "words_b")), strict=True):
+            a, b = set(zlib.decompress(x).split(b" ")), set(zlib.decompress(y).split(b" "))
+            both = len(a & b)
+            rows.append((min(key, other), max(key, other), both / (len(a) + len(b) - both)))
+        a, b, s = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["key_a", "key_b", "similarity"])

@@ -467,8 +467,7 @@ def similar_weighted_index(spark, sf_dir):
 @query(None)
 def intent_jaccard(spark, sf_dir):
     """Documents' word sets, of whole texts, that are nearly the same; a set's key is the SHA-256 of its words."""
-    sets = table(spark, sf_dir, "documents").select(F.array_sort(keys.words(F.col("text"))).alias("words"))
-    out = similarity.similar_word_sets(sets.withColumn("key", F.sha2(F.array_join("words", " "), 256)))
+    out = similarity.similar_word_sets(table(spark, sf_dir, "documents"))
     return out.select("key_a", "key_b", r6("similarity", "similarity"))
 
 

@@ -94,6 +94,21 @@ def test_similar_word_sets_of_whole_texts(spark, tmp_path, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_similar_word_sets_ship_less_than_the_texts(spark, small):
+    """All that the join shuffles is a share of the texts, not each word with its key and each candidate with its words."""
+    from millrace import queries
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    assert queries.intent_jaccard(spark, small).collect()
+    assert written() - before < spark.read.parquet(f"{small}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_queries_over_all_rows_equal_brute_force(spark, small):
     from collections import Counter, defaultdict
 
