@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,22 +50,46 @@ def map_reduce(items: DataFrame, part: Column, value: str) -> DataFrame:
     return items.groupBy(part.alias("part")).agg(F.sum(value).alias("partition_result"), F.count("*").alias("items"))
 
 
+class FailedItems(Exception):
+    """Raised by a function that knows which items of its batch fail: a message for each of these, null for the others."""
+
+    def __init__(self, messages: pd.Series):
+        super().__init__("items failed")
+        self.messages = messages
+
+
 def guarded_map(items: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], schema: str) -> DataFrame:
-    """Rows with result and error: a batch that fails is halved until the items that fail are alone, so a failure stays its own."""
+    """Rows with result and error: a failure stays its own.
 
-    def solve(rows: pd.DataFrame) -> list[pd.DataFrame]:
-        try:
-            return [rows.assign(result=fn(rows), error=None)]
-        except Exception as e:
-            if len(rows) == 1:
-                return [rows.assign(result=None, error=str(e))]
-            half = len(rows) // 2
-            return solve(rows.iloc[:half]) + solve(rows.iloc[half:])
+    Items that FailedItems names are set apart together and the rest is mapped again. A batch that fails in any other
+    way is halved until the items that fail are alone, which takes about a call for each item if many fail.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield from solve(batch)
+            results, errors = [], np.full(len(batch), None, object)
+            todo = [np.arange(len(batch))] if len(batch) else []
+            while todo:
+                own = todo.pop()
+                rows = batch if len(own) == len(batch) else batch.take(own)
+                try:
+                    results.append(pd.Series(np.asarray(fn(rows)), own))
+                    continue
+                except FailedItems as e:
+                    failed = pd.notna(e.messages).to_numpy()
+                    if len(failed) == len(own) and failed.any():
+                        errors[own[failed]] = e.messages.to_numpy()[failed]
+                        todo += [own[~failed]] if not failed.all() else []
+                        continue
+                    error = str(e)
+                except Exception as e:
+                    error = str(e)
+                if len(own) == 1:
+                    errors[own] = error
+                else:
+                    todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+            found = pd.concat(results).reindex(np.arange(len(batch))) if results else None
+            yield batch.assign(result=None if found is None else found.to_numpy(), error=errors)
 
     return items.mapInPandas(run, schema)
 

@@ -312,8 +312,9 @@ def swarm_error_rate(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN event_type <> 'error' THEN round(value * 2, 6) END AS result, CASE WHEN event_type = 'error' THEN 'failed item' END AS error FROM events""")
 def swarm_guarded_map(spark, sf_dir):
     def double(pdf):
-        if (pdf["event_type"] == "error").any():
-            raise ValueError("failed item")
+        failed = pdf["event_type"] == "error"
+        if failed.any():
+            raise swarm.FailedItems(failed.map({True: "failed item", False: None}))
         return (pdf["value"] * 2).round(6)
 
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")

@@ -109,6 +109,29 @@ def test_similar_word_sets_ship_less_than_the_texts(spark, small):
     assert written() - before < spark.read.parquet(f"{small}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
 
 
+def test_guarded_map_takes_few_calls_if_failures_are_named(spark, small):
+    """A fifth of the items fails; the function counts its calls in a column."""
+    import pandas as pd
+
+    from millrace.operators import swarm
+
+    rows = spark.range(0, 5000, 1, 1).withColumn("v", F.col("id").cast("double"))
+    for named in (True, False):
+        calls = []
+
+        def double(pdf, named=named, calls=calls):
+            calls.append(len(pdf))
+            bad = pdf["id"] % 5 == 0
+            if bad.any():
+                raise swarm.FailedItems(bad.map({True: "bad", False: None})) if named else ValueError("bad")
+            return pd.Series(len(calls), pdf.index, dtype=float)
+
+        got = swarm.guarded_map(rows, double, "id long, v double, result double, error string").orderBy("id").collect()
+        assert [r.id for r in got] == list(range(5000))
+        assert all((r.error, r.result is None) == (("bad", True) if r.id % 5 == 0 else (None, False)) for r in got)
+        assert not named or max(r.result or 0 for r in got) <= 2
+
+
 def test_queries_over_all_rows_equal_brute_force(spark, small):
     from collections import Counter, defaultdict
 
