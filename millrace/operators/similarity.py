@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,6 +22,9 @@ INTENT_SIMILAR = 0.7
 BLOCK = 512
 #: Slots of words' hashes that are counted, and how many of them are a row on the way.
 SLOTS, SLICE = 1 << 22, 1 << 16
+#: Groups of cells, at least; a set is sent to each group that it has a rare word in.
+GROUPS = 24
+CHUNK = 100_000  # rows of whole cells that are compared at once
 
 
 def similar_by_state(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -90,27 +92,37 @@ def similar_word_sets(texts: DataFrame, column: str = "text", threshold: float =
         counts[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     block = BLOCK
+    groups = max(GROUPS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _heads(batch, shared.value, threshold, block)
+            yield _heads(batch, shared.value, threshold, block, groups)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _meet(batches, threshold)
 
-    met = sets.select("id", "size", "words").mapInArrow(heads, "word long, p int, q int, block int, id long, size int, at int")
-    met = met.repartition("word", "p", "q").sortWithinPartitions("word", "p", "q").mapInArrow(meet, "a long, b long").distinct()
-    bits = sets.select("id", "size", "words").mapInArrow(_parities, "id long, size int, bits binary")
-    near = met.join(_renamed(bits, "a"), "a").join(_renamed(bits, "b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+    # a set goes to a group of cells once, with its parities
+    sent = sets.select("id", "size", "words").mapInArrow(heads, "part int, id long, size int, bits binary, heads binary").repartition(groups, "part")
+    near = cut(sent.mapInArrow(meet, "a long, b long").distinct())
+    return _verified(near, sets.select("id", "key", "words"), block).filter(F.col("similarity") > threshold)
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _close(batch, threshold)
 
-    near = near.mapInArrow(close, "a long, b long")
-    words = sets.select("id", "key", "words")
-    pairs = near.join(_renamed(words, "a"), "a").join(_renamed(words, "b"), "b").select("key_a", "key_b", "words_a", "words_b")
-    return pairs.mapInArrow(_compared, "key_a string, key_b string, similarity double").filter(F.col("similarity") > threshold)
+def _verified(near: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """The keys and similarity of pairs (a, b) of ids of sets (id, key, words).
+
+    Pairs are gathered by the least partners of both ids, which most pairs of near copies share, so that a set's words are sent to a
+    few places rather than with each pair; places of many pairs are cut into pairs of blocks.
+    """
+    both = near.select(F.col("a").alias("id"), F.col("b").alias("least")).unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("least")))
+    least = both.groupBy("id").agg(F.least(F.col("id"), F.min("least")).alias("least"))
+    placed = near.join(_renamed(least, "a"), "a").join(_renamed(least, "b"), "b").withColumnsRenamed({"least_a": "c", "least_b": "d"})
+    parts = placed.groupBy("c", "d").agg(F.ceil(F.sqrt(F.count("*")) / block).cast("int").alias("parts"))
+    part = lambda side: F.pmod(F.xxhash64(side), F.col("parts")).cast("int")
+    placed = cut(placed.join(parts, ["c", "d"]).select("a", "b", F.struct("c", "d", part("a").alias("p"), part("b").alias("q")).alias("place")))
+    members = placed.select(F.explode(F.array("a", "b")).alias("id"), "place").distinct().join(sets, "id").select("place.*", "id", "key", "words")
+    names = ["c", "d", "p", "q"]
+    pairs = placed.select("place.*", "a", "b")
+    return pairs.groupBy(*names).cogroup(members.groupBy(*names)).applyInArrow(_compared, "key_a string, key_b string, similarity double")
 
 
 def _renamed(rows: DataFrame, side: str) -> DataFrame:
@@ -154,95 +166,130 @@ def _sum_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(total.astype("<u4").tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
 
-def _heads(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, block: int) -> pa.RecordBatch:
-    """The hashes of each set's rarest words with their first places. One word's sets are dealt into blocks of about `block`
-    by its slot's count, and go to every pair of blocks that theirs is in; pairs of blocks are the unit of work."""
+def _heads(batch: pa.RecordBatch, counts: np.ndarray, threshold: float, block: int, groups: int) -> pa.RecordBatch:
+    """Each set's rarest words with their first places, a row for each group of cells (word, p, q) with the set's parities.
+
+    One word's sets are dealt into blocks of about `block` by its slot's count, and go to every pair of blocks that theirs is in;
+    pairs of blocks are the unit of work.
+    """
     ids, sizes = batch["id"].to_numpy(), batch["size"].to_numpy()
-    parts = []
+    parts, bits = [(np.zeros(0, np.int64),) * 4], []
     for i, (size, words) in enumerate(zip(sizes, batch["words"].to_pylist(), strict=True)):
         h = _hashes(words)
-        f = counts[h % SLOTS]
+        bits.append(_parity(h))
+        f = counts[h % SLOTS].astype(np.int64)
         order = np.lexsort((h, f))[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
         h, f = h[order], f[order]
         at = np.flatnonzero((np.diff(h, prepend=-1) != 0) & (f > 1))  # a word of one set meets none
         parts.append((h[at], f[at], np.full(len(at), i), at))
-    word, f, row, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-    blocks = -(-f.astype(np.int64) // block)
+    word, f, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    blocks = -(-f // block)
     own = ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
     copies = np.repeat(np.arange(len(word)), blocks)
     other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     word, own, row, at = word[copies], own[copies], row[copies], at[copies]
-    columns = [(word, pa.int64()), (np.minimum(own, other), pa.int32()), (np.maximum(own, other), pa.int32()), (own, pa.int32()), (ids[row], pa.int64()), (sizes[row], pa.int32()), (at, pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["word", "p", "q", "block", "id", "size", "at"])
+    p, q = np.minimum(own, other), np.maximum(own, other)
+    mixed = (word.astype(np.uint64) + np.uint64(31) * p.astype(np.uint64) + np.uint64(1009) * q.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    part = ((mixed >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((part, row))
+    part, row = part[order], row[order]
+    flat = np.stack([word, p, q, own, at], 1).astype("<u4")[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(row) != 0)]) if len(part) else np.zeros(0, np.int64)
+    raw, edges = flat.tobytes(), np.r_[first, len(part)] * 20
+    packed = [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    columns = [pa.array(part[first], pa.int32()), pa.array(ids[row[first]]), pa.array(sizes[row[first]], pa.int32()), pa.array([bits[i] for i in row[first]], pa.binary()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "id", "size", "bits", "heads"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids of rows of one cell (word, p, q), which come together; of different blocks if p and q differ."""
-    names = ["word", "p", "q", "block", "id", "size", "at"]
-    rest = None  # rows of the last cell, which may go on in the next batch
-    for batch in chain(batches, [None]):
-        rows = rest
-        if batch is not None:
-            new = np.stack([batch[c].to_numpy().astype(np.int64) for c in names])
-            rows = new if rest is None else np.concatenate([rest, new], 1)
-        if rows is None or not rows.shape[1]:
-            continue
-        cell = np.cumsum(np.r_[0, (np.diff(rows[:3]) != 0).any(0)])
-        cut_at = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))
-        rest = rows[:, cut_at:]
-        _, p, q, own, ids, size, at = rows[:, :cut_at]
-        cell = cell[:cut_at]
-        found = [np.zeros((0, 2), np.int64)]
-        i = np.arange(len(cell))
-        step = 0
-        while len(i):
+    """Pairs of ids of sets in one cell (word, p, q), as far as sizes, places and parities allow; of different blocks if p and q differ.
+
+    batches: rows of `_heads` of whole groups, about as many as an input split has.
+    """
+    ids, sizes, bits, counts, raw = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], [], []
+    for batch in batches:
+        ids.append(batch["id"].to_numpy())
+        sizes.append(batch["size"].to_numpy())
+        bits += batch["bits"].to_pylist()
+        heads = batch["heads"].to_pylist()
+        counts += [len(x) // 20 for x in heads]
+        raw.append(b"".join(heads))
+    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    flat, source = np.frombuffer(b"".join(raw), "<u4").reshape(-1, 5), np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    del raw
+    close = _closeness(bits)
+    del bits
+    order = np.lexsort((flat[:, 2], flat[:, 1], flat[:, 0]))
+    flat, source = flat[order], source[order]
+    edges = np.flatnonzero(np.r_[True, (flat[1:, :3] != flat[:-1, :3]).any(1), True]) if len(flat) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(edges) - 1:
+        hi = min(len(edges) - 1, max(lo + 1, int(np.searchsorted(edges, edges[lo] + CHUNK))))
+        rows = slice(edges[lo], edges[hi])
+        cell = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
+        lo = hi
+        own, at, src = flat[rows, 3], flat[rows, 4].astype(np.int64), source[rows]
+        cross, size = flat[rows, 1] != flat[rows, 2], sizes[src].astype(np.int64)
+        waiting, held, step, i = [], 0, 0, np.arange(len(cell))
+        while len(i) or held:
             step += 1
             i = i[i + step < len(cell)]
             i = i[cell[i] == cell[i + step]]
             j = i + step
-            ok = (p[i] == q[i]) | (own[i] != own[j])
+            ok = ~cross[i] | (own[i] != own[j])
             ok &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-6
             ok &= np.minimum(size[i] - at[i], size[j] - at[j]) * (1 + threshold) >= threshold * (size[i] + size[j]) - 1e-6
-            x, y = ids[i[ok]], ids[j[ok]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        a, b = np.concatenate(found).T
-        for lo in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + (1 << 16)]), pa.array(b[lo : lo + (1 << 16)])], names=["a", "b"])
+            waiting.append((i[ok], j[ok]))
+            held += int(ok.sum())
+            if held > 1 << 15 or not len(i):
+                x, y = (np.concatenate(k) for k in zip(*waiting, strict=True))
+                near = close(src[x], src[y]) <= (size[x] + size[y]) * (1 - threshold) / (1 + threshold) + 1e-6
+                x, y = ids[src[x[near]]], ids[src[y[near]]]
+                a, b = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                waiting, held = [], 0
 
 
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each set, a bit for each of some classes of hashes: whether it has an odd number of words of the class.
+def _parity(hashes: np.ndarray) -> bytes:
+    """A bit for each of some classes of hashes: whether there is an odd number of words of the class.
 
     There are at least as many classes as words, a power of two, so that halves of bits can be folded onto each other.
     """
-    for batch in batches:
-        out = []
-        for size, words in zip(batch["size"].to_pylist(), batch["words"].to_pylist(), strict=True):
-            n = max(64, 1 << (size - 1).bit_length())
-            out.append(np.packbits((np.bincount(_hashes(words) % n, minlength=n) & 1).astype(bool)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["size"], pa.array(out, pa.binary())], names=["id", "size", "bits"])
-
-
-def _close(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
-    """The pairs whose parities differ in no more places than their words may."""
-    keep = np.zeros(batch.num_rows, bool)
-    most = (batch["size_a"].to_numpy().astype(float) + batch["size_b"].to_numpy()) * (1 - threshold) / (1 + threshold) + 1e-6
-    for k, (x, y) in enumerate(zip(batch["bits_a"].to_pylist(), batch["bits_b"].to_pylist(), strict=True)):
-        while len(x) != len(y):
-            x, y = (x, y) if len(x) > len(y) else (y, x)
-            half = len(x) // 2
-            x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
-        keep[k] = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= most[k]
-    return batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys in order and the similarity of pairs of compressed sets."""
-    for batch in batches:
-        rows = []
-        for key, other, x, y in zip(*(batch[c].to_pylist() for c in ("key_a", "key_b", "words_a", "words_b")), strict=True):
-            a, b = set(zlib.decompress(x).split(b" ")), set(zlib.decompress(y).split(b" "))
-            both = len(a & b)
-            rows.append((min(key, other), max(key, other), both / (len(a) + len(b) - both)))
-        a, b, s = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["key_a", "key_b", "similarity"])
+    n = max(64, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount(hashes % n, minlength=n) & 1).astype(bool)).tobytes()
+
+
+def _closeness(bits: list[bytes]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of places in bits: in how many classes the parities there differ, after halving the longer one; 0 if that is over twice as long."""
+    length = np.array([len(x) for x in bits], np.int64)
+    place, whole = np.zeros(len(bits), np.int64), {}
+    for n in np.unique(length).tolist():
+        own = np.flatnonzero(length == n)
+        place[own] = np.arange(len(own))
+        whole[n] = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), n // 8)
+    half = {n: x[:, : n // 16] ^ x[:, n // 16 :] for n, x in whole.items() if n > 8}
+
+    def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        short = np.minimum(length[x], length[y])
+        for n in np.unique(short).tolist():
+            for longer_x, longer_y in ((False, False), (True, False), (False, True)):
+                k = np.flatnonzero((short == n) & (length[x] == n * (1 + longer_x)) & (length[y] == n * (1 + longer_y)))
+                if len(k):
+                    a, b = (half[2 * n] if longer else whole[n] for longer in (longer_x, longer_y))
+                    out[k] = np.bitwise_count(a[place[x[k]]] ^ b[place[y[k]]]).sum(1)
+        return out
+
+    return differ
+
+
+def _compared(pairs: pa.Table, members: pa.Table) -> pa.Table:
+    """The keys in order and the similarity of each pair."""
+    key = dict(zip(members["id"].to_pylist(), members["key"].to_pylist(), strict=True))
+    words = {i: frozenset(zlib.decompress(x).split(b" ")) for i, x in zip(members["id"].to_pylist(), members["words"].to_pylist(), strict=True)}
+    rows = []
+    for i, j in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        both = len(words[i] & words[j])
+        rows.append((min(key[i], key[j]), max(key[i], key[j]), both / (len(words[i]) + len(words[j]) - both)))
+    a, b, s = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["key_a", "key_b", "similarity"])
