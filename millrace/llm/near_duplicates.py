@@ -289,6 +289,24 @@ def _dealt(rows: DataFrame, of: str, block: int) -> DataFrame:
     return rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "near", "near_n", "far_n")
 
 
+def _by_pivot(big: DataFrame, sigs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large nodes, by whether they are near their node's pivot, of nodes that hold others; and what the pivots join."""
+    big = big.join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agree = (_values(batch["sig"].to_pylist()) == _values(batch["pivot_sig"].to_pylist())).sum(1)
+            names = ["node", "tree", "rep", "cluster", "pivot"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(agree, pa.int64())], names=[*names, "agree"])
+
+    big = checkpoint(big.dropDuplicates(["node", "rep"]).mapInArrow(compare, "node long, tree int, rep long, cluster long, pivot long, agree long"))
+    big = big.withColumn("near", F.col("agree") >= least)
+    heads = big.filter("rep = pivot").select("node", F.col("cluster").alias("head"))
+    certain = big.filter("near and rep <> pivot").join(heads, "node").filter("cluster <> head").select(F.col("cluster").alias("a"), F.col("head").alias("b"), "agree")
+    counts = big.groupBy("node").agg(F.sum(F.col("near").cast("long")).alias("near_n"), F.sum((~F.col("near")).cast("long")).alias("far_n"))
+    return big.join(counts.filter("far_n > 0"), "node"), certain
+
+
 def _meet(reps: DataFrame, clusters: DataFrame | None, depth: int, least: int, width: int) -> DataFrame:
     """a, b and agree: what rows that share a prefix of this depth in some tree join, between the clusters known so far."""
     known = reps.select("rep", "sig")
@@ -299,28 +317,21 @@ def _meet(reps: DataFrame, clusters: DataFrame | None, depth: int, least: int, w
     prefixes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * DEPTH * t + 1, 2 * depth)) for t in range(TREES)])
     nodes = known.select("rep", "cluster", F.posexplode(prefixes).alias("tree", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("rep").alias("pivot"))
-    shared = nodes.join(sizes.filter("lo <> hi").drop("lo", "hi"), "node")
+    shared = checkpoint(nodes.join(sizes.filter("lo <> hi").drop("lo", "hi"), "node"))
     sigs = reps.select("rep", "sig")
 
     small = shared.filter(F.col("size") <= NODE_BLOCK).select("node", "tree", "rep", "cluster", F.lit(False).alias("near"), F.lit(0).cast("long").alias("near_n"), F.col("size").alias("far_n"))
-    big = shared.filter(F.col("size") > NODE_BLOCK).join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            agree = (_values(batch["sig"].to_pylist()) == _values(batch["pivot_sig"].to_pylist())).sum(1)
-            names = ["node", "tree", "rep", "cluster", "pivot"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(agree, pa.int64())], names=[*names, "agree"])
-
-    big = checkpoint(big.dropDuplicates(["node", "rep"]).mapInArrow(compare, "node long, tree int, rep long, cluster long, pivot long, agree long"))
-    big = big.withColumn("near", F.col("agree") >= least)
-    heads = big.filter("rep = pivot").select("node", F.col("cluster").alias("head"))
-    certain = big.filter("near and rep <> pivot").join(heads, "node").filter("cluster <> head").select(F.col("cluster").alias("a"), F.col("head").alias("b"), "agree")
-    counts = big.groupBy("node").agg(F.sum(F.col("near").cast("long")).alias("near_n"), F.sum((~F.col("near")).cast("long")).alias("far_n"))
-    rest = big.join(counts.filter("far_n > 0"), "node").select(*small.columns)
+    if shared.filter(F.col("size") > NODE_BLOCK).isEmpty():
+        rows, certain = small, None
+    else:
+        rest, certain = _by_pivot(shared.filter(F.col("size") > NODE_BLOCK), sigs, least)
+        rows = small.unionByName(rest.select(*small.columns))
 
-    going = _dealt(small.unionByName(rest), "rep", NODE_BLOCK).join(sigs, "rep").repartition(width, "node", "p", "q").sortWithinPartitions("node", "p", "q")
+    going = _dealt(rows, "rep", NODE_BLOCK).join(sigs, "rep").repartition(width, "node", "p", "q").sortWithinPartitions("node", "p", "q")
     joined = going.select("node", "tree", "p", "q", "rep", "cluster", "sig").mapInPandas(lambda b: _join_nodes(b, depth, least), "a long, b long, agree long")
-    return joined.unionByName(certain).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
+    if certain is not None:
+        joined = joined.unionByName(certain)
+    return joined.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
 
 
 def candidate_classes(reps: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
@@ -359,6 +370,17 @@ def _near_pivot(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({**{c: left[c] for c in ("rep", "form", "class", "copies")}, "near": pa.array(near, pa.bool_())})
 
 
+def _near_pivots(big: DataFrame) -> DataFrame:
+    """Texts of large classes, by whether they are near their class's pivot, with counts of both kinds and the near ones' copies."""
+    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = big.withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "rep"), chunks).cast("int"))
+    pivots = big.filter("rep = class").select(F.col("class").alias("pivot_class"), F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("pivot_chunk"))
+    near = dealt.select("class", "chunk", "rep", "form", "copies", "text").groupBy("class", "chunk").cogroup(pivots.groupBy("pivot_class", "pivot_chunk"))
+    near = checkpoint(near.applyInArrow(lambda x, y: _near_pivot(x, y) if x.num_rows else _NONE, "rep long, form long, class long, copies long, near boolean"))
+    counts = near.groupBy("class").agg(F.sum(F.col("near").cast("long")).alias("near_n"), F.sum((~F.col("near")).cast("long")).alias("far_n"), F.sum(F.when(F.col("near"), F.col("copies"))).alias("near_copies"))
+    return near.join(counts, "class")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id that links lead to) and n_links (documents it is linked to) of every document."""
     spark = docs.sparkSession
@@ -371,24 +393,19 @@ def links(docs: DataFrame) -> DataFrame:
     candidates = candidate_classes(reps)
 
     members = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
-    members = members.select(F.col("node").alias("rep"), F.col("component").alias("class"), "size").join(reps.select("rep", "form", "copies"), "rep")
+    members = checkpoint(members.select(F.col("node").alias("rep"), F.col("component").alias("class"), "size").join(reps.select("rep", "form", "copies"), "rep"))
     own = members.join(texts.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "form"]), ["rep", "form"])
 
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    big = own.filter(F.col("size") > BLOCK)
-    dealt = big.withColumn("chunk", F.pmod(F.xxhash64(F.lit(4), "rep"), chunks).cast("int"))
-    pivots = big.filter("rep = class").select(F.col("class").alias("pivot_class"), F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("pivot_chunk"))
-    near = dealt.select("class", "chunk", "rep", "form", "copies", "text").groupBy("class", "chunk").cogroup(pivots.groupBy("pivot_class", "pivot_chunk"))
-    near = checkpoint(near.applyInArrow(lambda x, y: _near_pivot(x, y) if x.num_rows else _NONE, "rep long, form long, class long, copies long, near boolean"))
-    counts = near.groupBy("class").agg(F.sum(F.col("near").cast("long")).alias("near_n"), F.sum((~F.col("near")).cast("long")).alias("far_n"), F.sum(F.when(F.col("near"), F.col("copies"))).alias("near_copies"))
-    near = near.join(counts, "class")
-    certain = near.filter("near").select("rep", (F.col("near_copies") - F.col("copies")).alias("links"), F.col("class").alias("other"))
-
-    small = own.filter(F.col("size") <= BLOCK).select("class", "rep", "form", "copies", "text", F.lit(False).alias("near"), F.lit(0).cast("long").alias("near_n"), F.col("size").alias("far_n"))
-    rest = near.filter("far_n > 0").join(big.select("rep", "form", "text"), ["rep", "form"]).select(*small.columns)
-    blocks = _dealt(small.unionByName(rest), "rep", BLOCK).repartition(width, "class", "p", "q").sortWithinPartitions("class", "p", "q")
+    rows, certain = own.filter(F.col("size") <= BLOCK).select("class", "rep", "form", "copies", "text", F.lit(False).alias("near"), F.lit(0).cast("long").alias("near_n"), F.col("size").alias("far_n")), None
+    if not members.filter(F.col("size") > BLOCK).isEmpty():
+        big = own.filter(F.col("size") > BLOCK)
+        near = _near_pivots(big)
+        certain = near.filter("near").select("rep", (F.col("near_copies") - F.col("copies")).alias("links"), F.col("class").alias("other"))
+        rest = near.filter("far_n > 0").join(big.select("rep", "form", "text"), ["rep", "form"])
+        rows = rows.unionByName(rest.select(*rows.columns))
+    blocks = _dealt(rows, "rep", BLOCK).repartition(width, "class", "p", "q").sortWithinPartitions("class", "p", "q")
     found = blocks.select("class", "p", "q", "block", "rep", "form", "copies", "text").mapInPandas(lambda b: _verify(b, THRESHOLD), "rep long, links long, other long")
-    found = checkpoint(found.unionByName(certain))
+    found = checkpoint(found if certain is None else found.unionByName(certain))
 
     classes = components(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))

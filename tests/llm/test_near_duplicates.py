@@ -129,3 +129,13 @@ def test_hot_class_is_exact_with_pivots(spark, monkeypatch):
 def test_other_as_a_column_name(spark):
     docs = cases.documents(spark).withColumn("other", F.lit(1)).withColumn("__other", F.lit(2))
     assert nd.keep_one(docs).columns == docs.columns
+
+
+def test_jobs_are_few(spark, small):
+    """The driver plans every job and keeps its plan: no step is planned twice, and without large groups there are none for them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.numTotalJobs()
+    assert nd.links(docs).count() == docs.count()
+    jobs = scheduler.numTotalJobs() - before
+    assert jobs <= 110, jobs
