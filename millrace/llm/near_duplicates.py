@@ -394,7 +394,8 @@ def links(docs: DataFrame) -> DataFrame:
 
     members = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("size")), "component")
     members = checkpoint(members.select(F.col("node").alias("rep"), F.col("component").alias("class"), "size").join(reps.select("rep", "form", "copies"), "rep"))
-    own = members.join(texts.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "form"]), ["rep", "form"])
+    # all texts are shuffled once, those of members are kept: the steps below read them several times
+    own = checkpoint(members.join(texts.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "form"]), ["rep", "form"]))
 
     rows, certain = own.filter(F.col("size") <= BLOCK).select("class", "rep", "form", "copies", "text", F.lit(False).alias("near"), F.lit(0).cast("long").alias("near_n"), F.col("size").alias("far_n")), None
     if not members.filter(F.col("size") > BLOCK).isEmpty():

@@ -139,3 +139,25 @@ def test_jobs_are_few(spark, small):
     assert nd.links(docs).count() == docs.count()
     jobs = scheduler.numTotalJobs() - before
     assert jobs <= 110, jobs
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Several steps read the texts of candidate classes; all texts are read twice (signatures, members) and shuffled once, large classes or not."""
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    rnd = random.Random(6)
+    rows = []
+    for k in range(300):
+        w = [f"w{i}" if k < 60 else f"v{k}_{i}" for i in range(60)]
+        w[k % 60] = f"e{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = cases.documents(spark, rows).select("doc_id", "text").mapInArrow(count, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.links(docs).collect()}
+    assert got == brute(rows)
+    assert seen.value == 2 * len(rows), seen.value
