@@ -1,7 +1,8 @@
 """WARC archives: an index first, then coalesced byte-range reads of the selected records.
 
 `write` puts one gzip member a record into one archive a task and returns the index: offset, length,
-URL and digest of each record. `read` takes any rows of an index, sorts them by archive and offset,
+URL and digest of each record. The number of archives follows from the bytes, whatever the partitions
+of the input or of shuffles: small partitions are written together. `read` takes any rows of an index, sorts them by archive and offset,
 joins neighbouring ranges into one read each, and parses the records out of what it read.
 
 Of records with equal payloads that with the smallest page id is a response and the others are
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm._common import fresh_path
+from millrace.llm._common import fresh_path, text_bytes
 
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -35,6 +36,7 @@ INDEX_TYPES = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(
 RECORD_TYPES = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 READ_BYTES = 4 << 20  # a coalesced read is at most so long, unless one record is longer
 GAP_BYTES = 64 << 10  # unselected bytes that may be read along
+ARCHIVE_BYTES = 16 << 20  # partitions are joined up to so many payload bytes an archive, but to no fewer than there are cores
 
 _ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _DATE = "2024-01-01T00:00:00Z"  # records carry no crawl time of their own
@@ -124,11 +126,16 @@ def assign(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(copies, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
 
 
-def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Write the pages as archives below `folder` and return the index, itself a Parquet table in that folder."""
+def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write the pages as archives below `folder` and return the index, itself a Parquet table in that folder.
+
+    Each file has a cost of its own: on file systems of this machine Hadoop starts processes to set its permissions, which for
+    a moment share all memory of the executor.
+    """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    marked = assign(pages, least_bytes)
+    archives = max(spark.sparkContext.defaultParallelism, -(-text_bytes(pages, "html") // archive_bytes))
+    marked = assign(pages, least_bytes).coalesce(archives)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = name = None

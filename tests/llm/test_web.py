@@ -43,6 +43,27 @@ def test_reads_of_selected_records_are_coalesced(spark):
     assert {r.url for r in warc.read(some, read_bytes=100).collect()} == {f"http://h/{i}" for i in range(0, 200, 10)}
 
 
+def test_archives_follow_bytes_not_partitions(spark):
+    rows = [(i, f"http://h/{i}", f"page {i % 150} " * 50) for i in range(300)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for adaptive in ("-1", "10m"):  # a join by sorting deals rows to 40 partitions, a broadcast keeps the 30 of the input
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+            few = warc.write(pages(spark, rows).repartition(30))
+            assert few.select("archive").distinct().count() <= spark.sparkContext.defaultParallelism
+            many = warc.write(pages(spark, rows).repartition(30), archive_bytes=7000)
+            assert 10 < many.select("archive").distinct().count() <= 22
+            for index in (few, many):
+                check_archive(warc.read(index).collect(), rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def expected_rule(url):
     if not url or "://" not in url:
         return "", "", None, None
