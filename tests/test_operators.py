@@ -109,6 +109,50 @@ def test_similar_word_sets_ship_less_than_the_texts(spark, small):
     assert written() - before < spark.read.parquet(f"{small}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
 
 
+def test_similar_word_sets_of_all_sizes_in_many_blocks_and_parts(spark, monkeypatch):
+    import hashlib
+    import itertools
+    import random
+
+    from millrace.operators import similarity
+
+    for name, value in {"BLOCK": 7, "PAIRS": 9, "CHUNK": 50, "HELD": 20, "GROUP_WORDS": 300}.items():
+        monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(4)
+    sets = [frozenset(rnd.sample(range(90), rnd.randint(1, 70))) for _ in range(60)]
+    for s in sets[:40]:
+        for k in range(1, 8):  # smaller, larger and other ones
+            kept = rnd.sample(sorted(s), max(1, len(s) - rnd.randint(0, k)))
+            sets.append(frozenset(kept) | frozenset(rnd.sample(range(90), rnd.randint(0, 8 - k))))
+    words = {hashlib.sha256(" ".join(w).encode()).hexdigest(): set(w) for s in sets for w in [sorted(f"w{x}" for x in s)]}
+    for threshold in (0.7, 0.45):
+        want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in itertools.combinations(sorted(words), 2)}
+        want = {k: v for k, v in want.items() if v > threshold}
+        texts = spark.createDataFrame([(" ".join(f"W{x}" for x in rnd.sample(sorted(s), len(s))),) for s in sets], "text string")
+        got = similarity.similar_word_sets(texts, threshold=threshold).collect()
+        assert {(r.key_a, r.key_b): r.similarity for r in got} == want and len(got) == len(want) > 400
+
+
+def test_similar_word_sets_send_pairs_of_near_copies_packed(spark):
+    """Pairs of a large group of near copies are sent a few times in few bytes, not as a row for each pair and group of cells."""
+    import random
+
+    from millrace.operators import similarity
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rnd = random.Random(3)
+    texts = [(" ".join([*rnd.sample([f"w{x}" for x in range(60)], 57), *(f"u{k}x{x}" for x in range(3))]),) for k in range(500)]
+    before = written()
+    assert similarity.similar_word_sets(spark.createDataFrame(texts, "text string")).count() == 500 * 499 // 2
+    sent = written() - before
+    assert sent < 500 * 499 // 2 * 16, sent
+
+
 def test_guarded_map_takes_few_calls_if_failures_are_named(spark, small):
     """A fifth of the items fails; the function counts its calls in a column."""
     import pandas as pd
