@@ -30,6 +30,8 @@ GROUPS, GROUP_WORDS = 24, 1 << 24
 CHUNK = 100_000  # rows of whole cells that are compared at once
 HELD = 1 << 18  # pairs that are sent on together
 FIRST = 4  # words of a set by which a pair that has met before is known
+MARKS = 1 << 25  # bits by hashes of ids, 1 << 15 of them a row
+COPIES = 1 << 20  # ids of equal sets that are sent to all tasks, at most
 
 
 def similar_by_state(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -88,11 +90,11 @@ def similar_word_sets(texts: DataFrame, column: str = "text", threshold: float =
     words, so only these are met on. Sizes must be near: they fall into classes, of which only neighbours can hold similar sets, and a pair meets in the zone
     of its larger set's class. By the places of the word that is shared first, what is left of both must suffice.
     The pairs that are left are compared by the parities of their words' hashes, which bound the difference from below,
-    and only then by the words. Hashes that collide add candidates and lose none. Candidates are sent as packed lists, at most once for each group of their zone in most cases.
+    and only then by the words. Hashes that collide add candidates and lose none. Candidates are sent as packed lists, most of them once for each group of their zone.
     """
     spark = texts.sparkSession
     made = texts.select(F.lower(column).alias("text")).filter("text is not null").mapInArrow(_packed_sets, "key string, size int, words binary")
-    sets = cut(made.groupBy("key").agg(F.first("size").alias("size"), F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("id"), "key", "size", "words"))
+    sets = _once(cut(made.select(F.monotonically_increasing_id().alias("id"), "key", "size", "words")))
     slices = sets.select("words").mapInArrow(_slot_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slice, "slice int, counts binary")
     counts = np.zeros(SLOTS, np.uint32)
     for row in slices.collect():  # of fixed size together
@@ -123,10 +125,29 @@ def similar_word_sets(texts: DataFrame, column: str = "text", threshold: float =
     parts = near.groupBy("place").agg(F.ceil(F.sqrt(F.sum(F.col("n").cast("long")) / pairs)).cast("int").alias("parts"))
     placed = cut(near.join(parts, "place").mapInArrow(_dealt, "place long, p int, q int, a long, n int, others binary"))
     names = ["place", "p", "q"]
-    members = placed.groupBy(*names).applyInArrow(_members, "place long, p int, q int, id long").join(sets.select("id", "key", "words"), "id")
+    members = cut(placed.groupBy(*names).applyInArrow(_members, "place long, p int, q int, id long"))
+    members = members.join(_likely(sets.select("id", "key", "words"), members), "id")
     return placed.groupBy(*names).cogroup(members.groupBy(*names)).applyInArrow(_compared, "key_a string, key_b string, similarity double").filter(F.col("similarity") > threshold)
 
 
+def _once(sets: DataFrame) -> DataFrame:
+    """The sets (id, key, ...) without those that have the key of one of a smaller id; only keys are shuffled, unless very many sets are equal."""
+    keys = sets.select("id", F.unhex("key").alias("key"))
+    least = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = cut(keys.join(least, "key").filter("id <> least").select("id"))
+    return sets.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= COPIES else cut(sets.join(copies, "id", "left_anti"))
+
+
+def _likely(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets whose ids can be members', by marks of fixed size, so that a join doesn't shuffle the words of the others."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    place, at = F.shiftright(mark, 15), mark.bitwiseAND(F.lit(0x7FFF))
+    marks = members.select(place.alias("slice"), at.alias("at")).groupBy("slice").agg(F.bitmap_construct_agg("at").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", (F.shiftright("at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = sets.withColumns({"slice": place, "at": at}).join(F.broadcast(marks), "slice").filter(F.getbit(byte, F.col("at").bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return marked.select(*sets.columns)
+
+
 def _classes(threshold: float) -> np.ndarray:
     """The least size of each class of sizes; a set and one that is at most 1 / threshold as large are of one class or of neighbours."""
     bounds, ratio = [1], min(threshold, 0.9)  # coarser classes than needed for larger thresholds

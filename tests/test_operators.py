@@ -125,7 +125,9 @@ def test_similar_word_sets_of_all_sizes_in_many_blocks_and_parts(spark, monkeypa
             kept = rnd.sample(sorted(s), max(1, len(s) - rnd.randint(0, k)))
             sets.append(frozenset(kept) | frozenset(rnd.sample(range(90), rnd.randint(0, 8 - k))))
     words = {hashlib.sha256(" ".join(w).encode()).hexdigest(): set(w) for s in sets for w in [sorted(f"w{x}" for x in s)]}
-    for threshold in (0.7, 0.45):
+    sets += rnd.sample(sets, 50)
+    for threshold, copies in ((0.7, 0), (0.45, 1000)):
+        monkeypatch.setattr(similarity, "COPIES", copies)
         want = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in itertools.combinations(sorted(words), 2)}
         want = {k: v for k, v in want.items() if v > threshold}
         texts = spark.createDataFrame([(" ".join(f"W{x}" for x in rnd.sample(sorted(s), len(s))),) for s in sets], "text string")
@@ -153,6 +155,30 @@ def test_similar_word_sets_send_pairs_of_near_copies_packed(spark):
     assert sent < 500 * 499 // 2 * 16, sent
 
 
+def test_similar_word_sets_shuffle_words_of_members_only(spark):
+    """Sets without a similar one are told apart by their keys, and their words stay where they are."""
+    import random
+
+    from millrace.operators import similarity
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"{rnd.getrandbits(800):x}" for _ in range(40)) for _ in range(1000)] + ["a b c d e f g", "a b c d e f"]
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to send
+    try:
+        assert similarity.similar_word_sets(spark.createDataFrame([(t,) for t in texts], "text string")).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = written() - before
+    assert sent < 1000 * 40 * 100 // 2, sent  # half of the words, two digits a byte
+
+
 def test_guarded_map_takes_few_calls_if_failures_are_named(spark, small):
     """A fifth of the items fails; the function counts its calls in a column."""
     import pandas as pd
